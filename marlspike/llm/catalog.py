@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, warc
 from .tables import table
 
 
@@ -14,8 +14,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc_revisits": op7_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +35,19 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
     """,
+    "op7_warc_revisits": """
+        WITH t AS (
+            SELECT page_id, coalesce(html, '') AS body FROM pages
+        ), g AS (
+            SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY body) AS first_id
+            FROM t
+        ), r AS (
+            SELECT *, payload_bytes >= 100 AND page_id <> first_id AS again FROM g
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to
+        FROM r
+    """,
 }
