@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, warc
+from . import exact_dedup, near_dedup, warc
 from .tables import table
 
 
@@ -18,9 +18,14 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4, threshold=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc_revisits": op7_warc_revisits,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -50,4 +55,34 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN again THEN first_id END AS refers_to
         FROM r
     """,
+    "op9_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(
+                regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                lambda x: x <> '') AS w
+            FROM documents
+        ), shingle AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+                ELSE [] END) AS s
+            FROM words
+        ), sizes AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap
+            FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * overlap >= 80 * (x.n + y.n - overlap)
+        ), reach(id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT r.id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.other IN (l.a, l.b)
+        ), lowest AS (
+            SELECT id, min(other) AS component_id FROM reach GROUP BY id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN lowest ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    """,
 }
