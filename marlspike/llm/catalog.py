@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, warc
+from . import exact_dedup, near_dedup, suffix_dedup, warc
 from .tables import table
 
 
@@ -18,6 +18,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4, threshold=80)
 
@@ -25,6 +29,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
@@ -55,6 +60,31 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN again THEN first_id END AS refers_to
         FROM r
     """,
+    "op8_suffix_dedup": """
+        WITH body AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), byte AS (
+            SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM body
+        ), passage AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x,
+                   CASE WHEN i + 100 <= n THEN row_number() OVER (
+                       PARTITION BY CASE WHEN i + 100 <= n THEN md5(substr(h, 2 * i + 1, 200)) END ORDER BY doc_id, i) > 1
+                   ELSE false END AS again
+            FROM byte
+        ), judged AS (
+            SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
+            FROM passage
+        ), run AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM judged
+        ), counted AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                   string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS rest
+            FROM run GROUP BY doc_id
+        )
+        SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+        FROM body b LEFT JOIN counted c ON c.doc_id = b.doc_id
+    """,
     "op9_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(
