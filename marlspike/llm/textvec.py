@@ -109,3 +109,21 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
         have *= 2
     rest = width - have
     return np.minimum(out[:n], out[rest : rest + n])
+
+
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[65:91] += 32
+
+
+def spans(is_word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``starts, ends`` of runs of true bytes within rows, and the ``n + 1`` bounds of rows among them."""
+    first, last = is_word.copy(), is_word.copy()
+    if len(is_word) > 1:
+        first[1:] &= ~is_word[:-1]
+        last[:-1] &= ~is_word[1:]
+    inner = bounds[1:-1]
+    inner = inner[(inner > 0) & (inner < len(is_word))]
+    first[inner] = is_word[inner]
+    last[inner - 1] = is_word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, bounds)
