@@ -9,10 +9,13 @@ Values that many documents hold come last, and lists of them stay short.
 
 Within a list the sketch of the union estimates the overlap of a pair; pairs that
 pass are verified on their complete shingle sets. Documents with equal sets count
-as one from the start. A first round proposes only a few partners for each document
-of a list, which ties groups of thousands together; a second one proposes every
-remaining pair whose documents are not connected yet, so no link that matters to
-a component is left out.
+as one from the start. A first round proposes a few partners for each document of a
+list, among them the documents that share most with all others, which ties groups of
+thousands together. A second round takes every remaining pair whose documents are not
+connected yet: the documents of such pairs, not the pairs, are gathered by list and
+compared there on their sets, so nothing grows with the square of a group and no link
+that matters to a component is left out. A pair is taken up in one list only, that of
+the least listed value it shares.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import batches_by_bytes, written
-from .textvec import U64, flat_bytes, mix, ragged, row_sizes, span_hashes
+from .textvec import ASCII_LOWER, U64, flat_bytes, mix, ragged, row_sizes, span_hashes, spans
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
@@ -31,8 +34,11 @@ SKETCH = 32
 SHARED = 13
 #: Sets below this size can only meet sets that fit a sketch whole.
 SMALL_SET = 26
-#: Lists are cut to blocks of about so many documents.
+#: Lists are cut to blocks of about so many documents, and so many shingles.
 LIST_BLOCK = 4096
+LIST_SHINGLES = 4_000_000
+#: In the first round, each document of a long list is compared with so many that share most with the list.
+HUBS = 3
 #: In the first round, lists up to this length propose all pairs.
 ALL_PAIRS = 6
 #: Up to so many ids are broadcast (16 bytes each); more are joined by a shuffle.
@@ -40,8 +46,6 @@ BROADCAST_IDS = 500_000
 SLICE_BYTES = 2 << 20
 PAIR_SLICE = 1 << 16
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -52,19 +56,9 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     Words are runs of bytes other than space and 9-13, after lower-casing A-Z. A row
     of fewer than ``width`` words has one shingle of all of them; one without words, none.
     """
-    data = _LOWER[data]
-    word = ~_SPACE[data]
-    first, last = word.copy(), word.copy()
-    if len(word) > 1:
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
-    inner = bounds[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    first[inner] = word[inner]
-    last[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    data = ASCII_LOWER[data]
+    starts, ends, edges = spans(~_SPACE[data], bounds)
     hashes = span_hashes(data, starts, ends)
-    edges = np.searchsorted(starts, bounds)
     n_words = np.diff(edges)
     n_out = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
     out_bounds = np.concatenate(([0], np.cumsum(n_out)))
@@ -107,21 +101,25 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def listings(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``value, listed, id, n, sketch`` for the rarest values of each class that another class holds too.
+    """``value, listed, blocks, id, n, sketch, room`` for the rarest values of each class that another class holds too.
 
-    ``sketch`` has the low 32 bits of each value, enough to compare two documents.
+    ``sketch`` has the low 32 bits of each value, enough to compare two documents; the
+    values under which the class is listed are its first ``room``.
     """
-    held = classes.select("id", F.explode("sketch").alias("value"))
-    common = held.groupBy("value").agg(F.count(F.lit(1)).alias("listed")).filter("listed > 1")
+    held = classes.select("id", "n", F.explode("sketch").alias("value"))
+    common = held.groupBy("value").agg(F.count(F.lit(1)).alias("listed"), F.sum("n").alias("shingles")).filter("listed > 1")
     size = F.size("sketch")
     least = F.when(F.col("n") < SMALL_SET, F.ceil(F.col("n") * threshold / 100)).otherwise(SHARED)
-    shared = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("listed", "value"))).alias("v"))
+    entry = F.struct("listed", "value", "shingles")
+    shared = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("v"))
     # values that only one class holds are the rarest, and need no list
-    named = classes.join(shared, "id").withColumn("room", size - least + 1 - (size - F.size("v")))
-    return (
-        named.filter("room > 0")
-        .select("id", "n", F.transform("sketch", lambda x: F.shiftrightunsigned(F.shiftleft(x, 32), 32)).alias("sketch"), F.explode(F.slice("v", F.lit(1), F.col("room").cast("int"))).alias("v"))
-        .select("v.value", "v.listed", "id", "n", "sketch")
+    named = classes.join(shared, "id").withColumn("room", (size - least + 1 - (size - F.size("v"))).cast("int"))
+    named = named.filter("room > 0").withColumn("v", F.slice("v", F.lit(1), F.greatest(F.col("room"), F.lit(0)))).withColumn("room", F.size("v"))
+    low = lambda x: F.shiftrightunsigned(F.shiftleft(x, 32), 32)
+    ordered = F.concat(F.col("v.value"), F.array_except("sketch", F.col("v.value")))
+    blocks = F.ceil(F.greatest(F.col("v.listed") / LIST_BLOCK, F.col("v.shingles") / LIST_SHINGLES)).cast("long")
+    return named.select("id", "n", F.transform(ordered, low).alias("sketch"), "room", F.explode("v").alias("v")).select(
+        "v.value", "v.listed", blocks.alias("blocks"), "id", "n", "sketch", "room"
     )
 
 
@@ -225,8 +223,11 @@ def _few_pairs(threshold: int):
                 for gap in (1, 2):
                     lefts.append(own[gap:])
                     rights.append(own[:-gap])
-                lefts.append(own[1:])
-                rights.append(np.full(length - 1, own[0]))
+                _, number, count = np.unique(sk[own], return_inverse=True, return_counts=True)
+                fame = np.where(sk[own] >= 0, count[number.reshape(sk[own].shape)], 0).sum(axis=1)
+                for hub in own[np.argsort(-fame, kind="stable")[:HUBS]]:
+                    lefts.append(own)
+                    rights.append(np.full(length, hub))
             if lefts:
                 a, b = np.concatenate(lefts), np.concatenate(rights)
                 fit = similar(sk, n, a, b, threshold)
@@ -236,28 +237,100 @@ def _few_pairs(threshold: int):
     return run
 
 
-def _open_pairs(threshold: int):
-    """All pairs of a block whose documents are in different components and not both of its main component's share."""
+OPEN = "value long, salt long, id long, component_id long, minor boolean"
+
+
+def _open_rows(threshold: int):
+    """The documents of each block that may be similar to one of another component, ``minor`` being those to compare with all.
+
+    Main rows belong to the list's largest component and stand in one block each;
+    the others stand in all blocks of their list, and meet each other in the first.
+    """
 
     def run(batches):
+        import pyarrow as pa
+
         for table in _runs(batches, 2):
             bounds = _run_bounds(table, 2)
             ids, n, sk = _table_arrays(table)
-            label = table.column("component_id").to_numpy()
-            main, salt = table.column("main").to_numpy(zero_copy_only=False).astype(bool), table.column("salt").to_numpy()
+            room = table.column("room").to_numpy()
+            value, salt, label = (table.column(k).to_numpy() for k in ("value", "salt", "component_id"))
+            main = table.column("main").to_numpy().astype(bool)
+            picked, minor_rows = [], []
             for head, stop in zip(bounds[:-1], bounds[1:]):
                 if stop - head < 2 or (label[head:stop] == label[head]).all():
                     continue
-                own = np.arange(head, stop)
-                minor = own[~main[head:stop]]
+                own = slice(head, stop)
+                low, own_sk, own_n, own_label, own_main = int(value[head]) & 0xFFFFFFFF, sk[own], n[own], label[own], main[own]
+                listed = np.where(np.arange(SKETCH) < room[own][:, None], own_sk, -1)
+                known, number = np.unique(own_sk, return_inverse=True)
+                number = number.reshape(own_sk.shape)
+                mark = np.zeros(len(known), bool)
+                used, minor = np.zeros(stop - head, bool), np.flatnonzero(~own_main)
                 for i in minor:
-                    # minor with minor in one block only; main rows of a block stand in that block alone
-                    others = own[(label[own] != label[i]) & (main[own] | ((salt[i] == 0) & (own > i)))]
+                    others = np.flatnonzero((own_label != own_label[i]) & (own_main | ((salt[head] == 0) & (np.arange(stop - head) > i))))
+                    small, large = np.minimum(own_n[others], own_n[i]), np.maximum(own_n[others], own_n[i])
+                    others = others[100 * small >= threshold * large]
+                    if not len(others):
+                        continue
+                    small, large = np.minimum(own_n[others], own_n[i]), np.maximum(own_n[others], own_n[i])
+                    mark[number[i][own_sk[i] >= 0]] = True
+                    common = mark[number[others]]
+                    fit = common.sum(axis=1) >= np.where(small < SMALL_SET, np.ceil(large * threshold / 100), SHARED)
+                    mark[number[i]] = False
+                    others = others[fit]
+                    if len(others):
+                        both = np.isin(listed[others], listed[i][listed[i] >= 0])
+                        first = np.where(both, listed[others], np.iinfo(np.int64).max).min(axis=1)
+                        others = others[first == low]
                     if len(others):
-                        left = np.full(len(others), i)
-                        fit = similar(sk, n, left, others, threshold)
-                        if fit.any():
-                            yield _pair_batch(ids[left[fit]], ids[others[fit]])
+                        used[others] = True
+                        used[i] = True
+                k = head + np.flatnonzero(used)
+                picked.append(k)
+                minor_rows.append(~main[k])
+            if picked:
+                k = np.concatenate(picked)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value[k]), pa.array(salt[k]), pa.array(ids[k]), pa.array(label[k]), pa.array(np.concatenate(minor_rows))],
+                        names=["value", "salt", "id", "component_id", "minor"],
+                    )
+
+    return run
+
+
+def _verify_blocks(width: int, threshold: int):
+    """Links between documents of different components, one for each document and component at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table in _runs(batches, 2):
+            bounds = _run_bounds(table, 2)
+            ids, label = table.column("id").to_numpy(), table.column("component_id").to_numpy()
+            minor, text = table.column("minor").to_numpy().astype(bool), table.column("text").combine_chunks()
+            found = []
+            for head, stop in zip(bounds[:-1], bounds[1:]):
+                own_ids, own_label, own_minor = ids[head:stop], label[head:stop], minor[head:stop]
+                sets = shingle_sets(text.slice(head, stop - head), width)
+                size = np.array([len(x) for x in sets])
+                starts = np.cumsum(size) - size
+                known, number = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(known) + 1, bool)
+                number = np.append(number, len(known))
+                for i in np.flatnonzero(own_minor):
+                    mine = number[starts[i] : starts[i] + size[i]]
+                    mark[mine] = True
+                    both = np.add.reduceat(mark[number], starts) * (size > 0)
+                    mark[mine] = False
+                    fit = (100 * both >= threshold * (size + size[i] - both)) & (own_label != own_label[i])
+                    at = np.flatnonzero(fit)
+                    _, one = np.unique(own_label[at], return_index=True)
+                    found += [(int(own_ids[i]), int(own_ids[j])) for j in at[one]]
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield _pair_batch(a, b)
 
     return run
 
@@ -291,7 +364,7 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = written(texts.join(F.broadcast(named) if n_named <= BROADCAST_IDS else named, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    blocks = F.ceil(F.col("listed") / LIST_BLOCK).cast("long")
+    blocks = F.col("blocks")
     # a long list is cut twice, by independent hashes, so its blocks overlap
     cuts = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(1)), blocks), blocks + F.pmod(F.xxhash64("id", F.lit(2)), blocks)))
     dealt = lists.select("value", F.explode(cuts).alias("salt"), "id", "n", "sketch").repartition("value", "salt").sortWithinPartitions("value", "salt")
@@ -299,9 +372,8 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     links = written(verified(few, texts, width, threshold), "links")
     labels = components(links)
 
-    known = lists.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    known = written(known, "known")
-    long_lists = known.filter(F.col("listed") > LIST_BLOCK)
+    known = written(lists.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "known")
+    long_lists = known.filter(blocks > 1)
     most = long_lists.groupBy("value", "component_id").count().groupBy("value").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"))
     is_main = F.col("component_id") == F.col("largest")
     split = (
@@ -309,11 +381,13 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         .withColumn("main", is_main)
         .withColumn("salt", F.explode(F.when(is_main, F.array(F.pmod(F.xxhash64("id"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
     )
-    whole = known.filter(F.col("listed") <= LIST_BLOCK).withColumn("main", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
-    cols = ["value", "salt", "id", "n", "sketch", "component_id", "main"]
-    open_lists = whole.select(cols).union(split.select(cols)).repartition("value", "salt").sortWithinPartitions("value", "salt")
-    rest = written(open_lists.mapInArrow(_open_pairs(threshold), "a long, b long").distinct().join(few, ["a", "b"], "left_anti"), "rest")
-    more = written(verified(rest, texts, width, threshold), "links")
+    whole = known.filter(blocks == 1).withColumn("main", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
+    cols = ["value", "salt", "id", "n", "sketch", "room", "component_id", "main"]
+    by = ["value", "salt"]
+    open_lists = whole.select(cols).union(split.select(cols)).repartition(*by).sortWithinPartitions(*by)
+    rows = written(open_lists.mapInArrow(_open_rows(threshold), OPEN), "open")
+    with_text = rows.join(texts, "id").select(*by, "id", "component_id", "minor", "text").repartition(*by).sortWithinPartitions(*by)
+    more = written(with_text.mapInArrow(_verify_blocks(width, threshold), "a long, b long"), "links")
     if not more.limit(1).count():
         return labels
     return components(links.union(more))
