@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from .tables import table
 
 
@@ -24,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op5_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_near_vectors": op1_pivot_near_vectors,
     "op2_crf_toxicity": op2_crf_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_cnn_quality": op5_cnn_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -60,6 +60,29 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int, text_bytes: int):
+    """Texts and labels of at most ``sample_docs`` training rows of each label with at most ``text_bytes``.
+
+    Rows come by a hash of their id, so the sample is the same at every run. Returns an Arrow
+    array and a boolean array.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, text_bytes))
+    order = F.xxhash64("doc_id")
+    drawn = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(4 * sample_docs) for k in (0, 1)]
+    small = F.broadcast(drawn[0].union(drawn[1]))  # 8 * sample_docs ids at most
+    found = texts.join(small, "doc_id").withColumn("order", order)
+    rows = [found.filter(F.col("label") == k).orderBy("order", "doc_id").limit(sample_docs).select("text", "label").toArrow() for k in (0, 1)]
+    sample = pa.concat_tables(rows).combine_chunks()
+    if not sample.num_rows:
+        return pa.array([], pa.string()), np.zeros(0, bool)
+    return sample.column("text").chunk(0), sample.column("label").to_numpy() > 0
+
+
 def batches_by_bytes(batches, sizes, limit: int):
     """Slices of Arrow record batches with about ``limit`` bytes by ``sizes(batch)`` each, one row at least."""
     import numpy as np

@@ -17,19 +17,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import batches_by_bytes, in_training
+from .tables import batches_by_bytes, in_training, training_sample
 from .textvec import ASCII_LOWER, U64, flat_bytes, row_sizes, span_hashes, spans
 
 #: Bounds of the training sample: documents of each label, and the bytes of one document.
 SAMPLE_DOCS = 800
 SAMPLE_TEXT_BYTES = 16_384
-BUCKET_BITS = 18
+BUCKET_BITS = 21
 ROUNDS = 25
 SEGMENT = 128
 SLICE_BYTES = 2 << 20
 THRESHOLD = 0.5
 #: A feature marks toxic tokens if this share of toxic documents has it, and its odds ratio is at least this.
-MARK_SHARE = 0.015
+MARK_SHARE = 0.03
 MARK_ODDS = 40.0
 PREFIXES, SUFFIX = (4, 5, 7), 4
 
@@ -215,27 +215,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     import pyarrow as pa
 
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES))
-    order = F.xxhash64("doc_id")
-    # ids first, so that texts are joined for the sample alone; some ids have no text that fits
-    drawn = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(4 * sample_docs) for k in (0, 1)]
-    small = F.broadcast(drawn[0].union(drawn[1]))  # 8 * sample_docs ids at most
-    found = texts.join(small, "doc_id").withColumn("order", order)
-    rows = [found.filter(F.col("label") == k).orderBy("order", "doc_id").limit(sample_docs).select("text", "label").toArrow() for k in (0, 1)]
-    sample = pa.concat_tables(rows).combine_chunks()
-    if not sample.num_rows:
-        return fit(pa.array([], pa.string()), np.zeros(0, bool))
-    text, label = sample.column("text").combine_chunks(), sample.column("label").to_numpy() > 0
-    if isinstance(text, pa.ChunkedArray):
-        text = pa.concat_arrays(text.chunks)
+    text, label = training_sample(docs, labels, id_col, text_col, label_col, sample_docs, SAMPLE_TEXT_BYTES)
     seen, first = set(), []
     for k, t in enumerate(text.to_pylist()):
         if t not in seen:
             seen.add(t)
             first.append(k)
-    return fit(text.take(pa.array(first)), label[first])
+    return fit(text.take(pa.array(first, pa.int64())), label[np.array(first, np.int64)])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
