@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from . import embedding_dedup, exact_dedup, license_scan, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from .tables import table
 
 
@@ -44,6 +44,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4, threshold=80)
 
 
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_near_vectors": op1_pivot_near_vectors,
     "op2_crf_toxicity": op2_crf_toxicity,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_revisits": op7_warc_revisits,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_license_dice": op10_license_dice,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -137,4 +142,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d JOIN lowest ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
     """,
+    "op10_license_dice": license_scan.oracle_sql(),
 }

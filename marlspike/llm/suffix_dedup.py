@@ -36,7 +36,7 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of text whose least words one task compares.
 WORD_SHARE = 32 << 20
 #: Bytes of stretches in a shard, and in one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 ARRAY_BYTES = 1 << 20
 #: Beyond so many chunks, equal contents are merged in groups of chunks before they meet in a shard.
 MERGE_CHUNKS = 4096
@@ -46,10 +46,10 @@ PLACED = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("length",
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("stop", "<i8")])
 
 
-def _zip(data) -> bytes:
+def _zip(data, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(bytes(data))
+    return zstandard.ZstdCompressor(level=level).compress(bytes(data))
 
 
 def _unzip(data: bytes) -> bytes:
@@ -78,7 +78,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids[known] = batch.column(0).drop_null().to_numpy()
             held = np.concatenate((ids, known.astype(np.int64)))
-            yield _rows(["chunk", "n_bytes", "ids", "bounds", "body"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], [(number, len(data), held.tobytes(), bounds.tobytes(), _zip(data))])
+            yield _rows(["chunk", "n_bytes", "ids", "bounds", "body"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], [(number, len(data), held.tobytes(), bounds.tobytes(), _zip(data, 5))])
             number += 1
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, CHUNK)
