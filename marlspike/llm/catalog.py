@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, license_scan, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+import corpus_pipeline
+
+from . import embedding_dedup, exact_dedup, license_scan, near_dedup, packing, quality, sampling, suffix_dedup, toxicity, warc
 from .tables import table
 
 
@@ -24,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sampled_pieces(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -52,12 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_near_vectors": op1_pivot_near_vectors,
     "op2_crf_toxicity": op2_crf_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sampled_pieces": op4_sampled_pieces,
     "op5_cnn_quality": op5_cnn_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_dice": op10_license_dice,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -258,6 +258,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` scored below ``threshold``, all columns unchanged.
+
+    Rows are decided where they are read: nothing is joined or shuffled. Null and empty texts stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        for batch in batches_by_bytes(batches, lambda b: row_sizes(b.column(at)) + 64, SLICE_BYTES):
+            _, _, edges, features = tokens(*flat_bytes(batch.column(at)))
+            p, *_ = marginals(model.evidence(features), edges, model.transition)
+            yield batch.filter(pa.array(model.score(p, edges) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Fit on the labelled training rows and score every whole text.
 
