@@ -80,7 +80,12 @@ class Model:
         dz = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32) / len(y)
         d_unit, d_bias = features.T @ dz, np.array([dz.sum()], np.float32)
         row = np.repeat(np.arange(len(y)), at.chunks)
-        d_chunk = dz[row, None] * (self.unit[:FILTERS] / at.chunks[row, None] + self.unit[FILTERS:] * (chunk == top[row]))
+        # chunks overlap, so several may have a document's greatest value from one place: the first counts
+        is_top = chunk == top[row]
+        seen = np.cumsum(is_top, axis=0)
+        before = np.concatenate((np.zeros((1, FILTERS), seen.dtype), seen))[at.chunk_first[row]]
+        is_top &= seen - before == 1
+        d_chunk = dz[row, None] * (self.unit[:FILTERS] / at.chunks[row, None] + self.unit[FILTERS:] * is_top)
         # the greatest of a chunk's groups, then of a group's blocks
         column = np.arange(FILTERS)
         best = pooled[at.chunk_groups].argmax(axis=1)

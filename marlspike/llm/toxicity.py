@@ -31,6 +31,7 @@ THRESHOLD = 0.5
 #: A feature marks toxic tokens if this share of toxic documents has it, and its odds ratio is at least this.
 MARK_SHARE = 0.03
 MARK_ODDS = 40.0
+COUNTED = 0.1
 PREFIXES, SUFFIX = (4, 5, 7), 4
 
 _WORD = np.zeros(256, bool)
@@ -137,15 +138,18 @@ def _tags(features: np.ndarray, edges: np.ndarray, toxic: np.ndarray) -> np.ndar
 
 
 def summary(p: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each row: 1, the logit of the highest marginal, and the log of the expected number of toxic tokens."""
+    """For each row: 1, the logit of the highest marginal, and the log of the expected number of toxic tokens.
+
+    Marginals under ``COUNTED`` do not add to that number, so that a long text is not toxic by its length.
+    """
     n = len(edges) - 1
     top, total = np.zeros(n), np.zeros(n)
     full = np.diff(edges) > 0
     if full.any():
         top[full] = np.maximum.reduceat(p, edges[:-1][full])
-        total[full] = np.add.reduceat(p, edges[:-1][full])
+        total[full] = np.add.reduceat(np.where(p >= COUNTED, p, 0.0), edges[:-1][full])
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack((np.ones(n), np.log(top / (1 - top)), np.log(total + 1e-3)), axis=1)
+    return np.stack((np.ones(n), np.log(top / (1 - top)), np.log(total + 0.1)), axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
