@@ -27,7 +27,7 @@ def add_micros(t: Column, n: Column) -> Column:
 def _add(unit: int):
     def add(t: Column, n) -> Column:
         n = n if isinstance(n, Column) else F.lit(n)
-        return add_micros(t, F.bround(n * F.lit(unit)).cast("long"))
+        return add_micros(t, F.bround(n * F.lit(unit).cast("long")).cast("long"))
 
     return add
 
