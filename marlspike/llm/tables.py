@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,13 @@ def written(df: DataFrame, name: str = "part", compression: str = "zstd") -> Dat
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.option("compression", compression).parquet(path)
+    # the shuffle files of what made the table go as soon as it stands, instead of when the driver collects its garbage
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
