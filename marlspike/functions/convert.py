@@ -86,3 +86,12 @@ def json_value(text: Column, path: str, kind: str = "string") -> Column:
     if not _PATH.fullmatch(path):
         raise ValueError(f"not a path: {path}")
     return F.get_json_object(text, path).cast(kind)
+
+
+def new_guid() -> Column:
+    return F.uuid()
+
+
+def random() -> Column:
+    """Uniform in [0, 1), different for each row."""
+    return F.rand()

@@ -178,3 +178,41 @@ def local_part(z: Column) -> Column:
 
 def in_zone(instant: Column, zone: str) -> Column:
     return F.from_utc_timestamp(instant, zone)
+
+
+def time_millisecond(t: Column) -> Column:
+    return (F.floor(t / 1000) % 1000).cast("int")
+
+
+def time_microsecond(t: Column) -> Column:
+    return (t % 1000).cast("int")
+
+
+def time_ticks(t: Column) -> Column:
+    return t * 10
+
+
+SPAN = r"^(-?)(?:(\d+)\.)?(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,7}))?)?$"
+
+
+def parse_span(s: Column) -> Column:
+    """``[-][d.]hh:mm[:ss[.fffffff]]`` as microseconds; raises on other text. Tenths of a microsecond are cut off."""
+    part = lambda k: F.regexp_extract(s, SPAN, k)
+    number = lambda k: F.coalesce(F.nullif(part(k), F.lit("")), F.lit("0")).cast("long")
+    fraction = F.substring(F.rpad(part(6), 7, "0"), 1, 6).cast("long")
+    total_micros = ((number(2) * 24 + number(3)) * 3600 + number(4) * 60 + number(5)) * 1_000_000 + fraction
+    value = F.when(part(1) == "-", -total_micros).otherwise(total_micros)
+    wrong = F.raise_error(F.concat(F.lit("not a span of time: "), s)).cast("long")
+    return F.when(s.isNull(), F.lit(None)).when(s.rlike(SPAN), value).otherwise(wrong)
+
+
+def parse_time(s: Column) -> Column:
+    """A time of day as microseconds; raises on text that is none."""
+    value = parse_span(s)
+    wrong = F.raise_error(F.concat(F.lit("not a time of day: "), s)).cast("long")
+    return F.when(s.isNull(), F.lit(None)).when((value >= 0) & (value < MICROS_OF_DAY), value).otherwise(wrong)
+
+
+def utc_now() -> Column:
+    """Fixed for the whole query."""
+    return F.current_timestamp()

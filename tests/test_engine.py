@@ -272,6 +272,13 @@ def test_user_functions(spark):
         (lambda: dates.time_add(F.col("m"), 7_200_000_000), {"m": 82_800_000_000}, 3_600_000_000),
         (lambda: dates.millisecond(F.col("t")), {"t": datetime(2020, 1, 1, 0, 0, 0, 123456)}, 123),
         (lambda: dates.local_part(dates.with_offset(F.col("t"), 90)), {"t": datetime(2020, 1, 1)}, datetime(2020, 1, 1, 1, 30)),
+        (lambda: dates.parse_span(F.col("s")), {"s": "-1.01:01:01.5"}, -90_061_500_000),
+        (lambda: dates.parse_span(F.col("s")), {"s": "02:30"}, 9_000_000_000),
+        (lambda: dates.parse_time(F.col("s")), {"s": "23:59:59.999999"}, 86_399_999_999),
+        (lambda: dates.time_ticks(F.col("m")), {"m": 5}, 50),
+        (lambda: dates.time_millisecond(F.col("m")), {"m": 1_234_567}, 234),
+        (lambda: F.length(convert.new_guid()), {"m": 1}, 36),
+        (lambda: convert.random() < 1, {"m": 1}, True),
         (lambda: convert.parse_bool(F.col("s")), {"s": " TRUE "}, True),
         (lambda: convert.bool_text(F.col("b")), {"b": True}, "True"),
         (lambda: convert.enum_parse(F.col("s"), {"A": 1, "B": 2}, ignore_case=True), {"s": "b"}, 2),
@@ -286,7 +293,7 @@ def test_scalar(spark, column, values, expected):
 
 
 def test_bad_text_raises(spark):
-    for column in (convert.parse_bool(F.col("s")), convert.parse(F.col("s"), "int"), convert.parse_guid(F.col("s"))):
+    for column in (convert.parse_bool(F.col("s")), convert.parse(F.col("s"), "int"), convert.parse_guid(F.col("s")), dates.parse_time(F.col("s"))):
         with pytest.raises(Exception, match="not a|CAST_INVALID_INPUT"):
             one(spark, column, s="nonsense")
     with pytest.raises(ValueError):
