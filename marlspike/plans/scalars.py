@@ -110,12 +110,22 @@ def date_add(ctx):
     return ctx.query("events").select("event_id", a=F.date_format(dates.add_days(t, 1.5), form), b=F.date_format(dates.add_months(t, 1), form[:10]), c=F.date_format(dates.add_years(t, -1), form[:10])).df
 
 
+def _date_diff(ctx, orders):
+    joined = orders.join(ctx.query("lineitem"), "o_orderkey", "l_orderkey")
+    s = dates.span(F.col("l_shipdate"), F.col("o_orderdate"))
+    return joined.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", dates.total_hours(s).alias("hours"), dates.span_days(s).alias("days"))
+
+
 @query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0::DOUBLE AS hours,
     trunc((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE)::BIGINT AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000""")
 def date_diff(ctx):
-    joined = ctx.query("orders").where(F.col("o_orderkey") < 2000).join(ctx.query("lineitem"), "o_orderkey", "l_orderkey")
-    s = dates.span(F.col("l_shipdate"), F.col("o_orderdate"))
-    return joined.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", dates.total_hours(s).alias("hours"), dates.span_days(s).alias("days"))
+    return _date_diff(ctx, ctx.query("orders").where(F.col("o_orderkey") < 2000))
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0::DOUBLE AS hours,
+    trunc((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE)::BIGINT AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def date_diff_all(ctx):
+    return _date_diff(ctx, ctx.query("orders"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t, epoch_us(o_orderdate) * 10 + 621355968000000000 AS ticks, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) AS day_number FROM orders""")

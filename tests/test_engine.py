@@ -13,6 +13,8 @@ from marlspike.expr import contained, equal, not_, not_equal
 from marlspike.functions import convert, dates, numeric, strings
 from marlspike.model import Converter, create_table_sql, schema_changes
 from marlspike.operators import grouping as g
+from marlspike.plans import core, scalars  # noqa: F401
+from marlspike.plans.registry import QUERIES
 from marlspike.query import MoreThanOne, NoElement
 from marlspike.sources.tables import Tables
 from marlspike.temporal import History
@@ -298,3 +300,12 @@ def test_bad_text_raises(spark):
             one(spark, column, s="nonsense")
     with pytest.raises(ValueError):
         convert.json_value(F.col("s"), "a.b; drop")
+
+
+def test_date_diff_all_reads_every_order(spark, tmp_path):
+    sold, sent = datetime(2020, 1, 1, 12), datetime(2020, 1, 3)
+    spark.createDataFrame([(1, sold), (2000, sold), (9_000_000, sold)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.createDataFrame([(k, 1, 1, 1, 1.0, 1.0, sent) for k in (1, 2000, 9_000_000)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["date_diff_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["o_orderkey"], r["hours"], r["days"]) for r in got) == [(k, 36.0, 1) for k in (1, 2000, 9_000_000)]
