@@ -5,10 +5,19 @@ empty lines). Units and templates are normalised alike: lower case, everything b
 and digits as one space. A unit of a bigrams can only reach a coefficient t with templates of
 ``a t / (2 - t)`` to ``a (2 - t) / t`` bigrams; others are not compared. Templates are
 constants, so the scan needs no join and no shuffle: each row is decided where it is read.
+
+A notice can share its unit with other text, so runs of words within a unit (windows) are
+compared too. A unit or window that reaches t holds so many of a template's n bigrams that
+one of its ``n - t n / (2 - t) + 1`` rarest is among them (its anchors); texts without an
+anchor, which one expression finds, have none. Bigrams that are not the template's only
+lower the coefficient at a window's ends, so windows start and end with one that is.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +26,9 @@ NOT_WORD = r"[^\p{L}\p{N}\n]+"
 LINE_END = " ?\n ?"
 PARAGRAPH_END = "( ?\n){2,} ?"
 
+#: Words that make a poor anchor, as do single characters and numbers. This only decides how many texts are looked at.
+COMMON = set("a all an and any are at be by can for from have in is it of on or that the this to under use will with without you your".split())
+
 # Notices and opening paragraphs of common licences.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -62,13 +74,63 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def _bigrams(words: Column) -> Column:
+def anchors(grams: list[str], threshold: float) -> list[str]:
+    """The rarest bigrams of a template, enough that each window that reaches ``threshold`` has one."""
+    order = sorted(grams, key=lambda g: (sum(w in COMMON or len(w) == 1 or w.isdigit() for w in g.split()), -len(g), g))
+    return order[: len(grams) - _needed(len(grams), threshold) + 1]
+
+
+def _needed(n: int, threshold: float) -> int:
+    """Bigrams that a unit or window shares with a template of ``n`` at the least, where it reaches ``threshold``."""
+    return max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9))
+
+
+def _any_of(grams: list[str]) -> str:
+    """A pattern of texts that hold one of the bigrams, over line ends too."""
+    follow: dict[str, list[str]] = {}
+    for g in sorted(set(grams)):
+        first, second = g.split()
+        follow.setdefault(first, []).append(second)
+    return r"(?:^|[ \n])(?:" + "|".join(rf"{a}[ \n]+(?:{'|'.join(b)})" for a, b in follow.items()) + r")(?:[ \n]|$)"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _pairs(words: Column) -> Column:
     n = F.size(words) - 1
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def _word_count(unit: Column) -> Column:
-    return F.length(unit) - F.length(F.replace(unit, F.lit(" "))) + 1
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
+def _best_window(pairs: Column, line: Column, several: Column, name: str, grams: list[str], threshold: float) -> Column:
+    """``less, name`` of a template's best window in a unit, or null; ``line`` is each word's line, ``several`` whether there are more than one.
+
+    In a unit of several lines, the window has to run over a line end: others belong to their line.
+    """
+    n, need = len(grams), _needed(len(grams), threshold)
+    most = math.floor(n * (2 - threshold) / threshold + 1e-9)
+    known = F.array(*map(F.lit, grams))
+
+    def scored(start: Column, end: Column) -> Column:
+        held = F.slice(pairs, start + 1, end - start + 1)
+        less = -2.0 * F.size(F.array_intersect(held, known)) / (F.size(F.array_distinct(held)) + n)
+        return F.struct(less.alias("less"), (F.get(line, start) != F.get(line, end + 1)).alias("over"))
+
+    def windows(at: Column) -> Column:
+        # only where enough of the template's bigrams stand close together
+        first = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda j: F.get(at, j + (need - 2)) - F.get(at, j - 1) < most)
+        ends = lambda j: F.filter(F.slice(at, j + (need - 1), F.lit(most - need + 1)), lambda e: e - F.get(at, j - 1) < most)
+        return F.flatten(F.transform(first, lambda j: F.transform(ends(j), lambda e: scored(F.get(at, j - 1), e))))
+
+    at = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(known, g), i)), lambda i: i.isNotNull())
+    best = _let(at, lambda at: F.when(F.size(at) >= need, F.array_min(windows(at))))
+    return _let(best, lambda b: F.when(b.isNotNull() & (~several | b["over"]), F.struct(b["less"].alias("less"), F.lit(name).alias("name"))))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
@@ -76,23 +138,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``license`` is the template with the highest coefficient of any unit (the first name of
     equals) and ``similarity`` that coefficient; both are null where no unit reaches
-    ``threshold``. ``n_units`` counts the units that reach it. Null and empty texts and units
-    of fewer than two words match nothing. Repeated rows give equal rows; other columns are
-    not read; an empty table gives an empty result.
+    ``threshold``. ``n_units`` counts the units that reach it. A unit's coefficient is the
+    highest of its own and those of its windows: runs of words with no more bigrams, repeats
+    included, than a unit that can reach ``threshold`` has different ones. In a paragraph,
+    the best window of a template counts only if it runs over a line end. Null and empty
+    texts and units of fewer than two words match nothing. Repeated rows give equal rows;
+    other columns are not read; an empty table gives an empty result.
     """
     known = [(name, grams) for name, text in sorted((templates or TEMPLATES).items()) if (grams := template_bigrams(text))]
     if not known:
         raise ValueError("no template has two words")
-    least = min(len(g) for _, g in known) * threshold / (2 - threshold)
-    most = max(len(g) for _, g in known) * (2 - threshold) / threshold
     entries = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for name, g in known])
 
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), NOT_WORD, " ")
     lines = F.split(F.col("plain"), LINE_END)
     paragraphs = F.filter(F.split(F.col("plain"), PARAGRAPH_END), lambda x: x.contains("\n"))
-    # a unit has at least as many words as it has different bigrams and one more; repeats only make it longer
-    fits = lambda u: _word_count(u) > least
-    units = F.filter(F.transform(F.concat(lines, F.transform(paragraphs, lambda x: F.regexp_replace(x, " ?\n ?", " "))), lambda u: F.btrim(u)), fits)
 
     def best(grams: Column) -> Column:
         n = F.size(grams)
@@ -103,12 +163,28 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
         return F.array_min(scored)
 
-    grams = F.filter(F.transform(F.col("units"), lambda u: _bigrams(F.split(u, " "))), lambda g: (F.size(g) >= least) & (F.size(g) <= most))
+    # the units of texts with an anchor, as lists of lines
+    rows = lambda u: F.filter(F.transform(F.split(u, LINE_END), lambda x: F.btrim(x)), lambda x: x != "")
+    pieces = F.filter(F.transform(F.concat(lines, paragraphs), rows), lambda p: F.size(p) > 0)
+
+    def best_in(piece: Column) -> Column:
+        def of(u: Column) -> Column:
+            inner = [
+                F.when(u["text"].rlike(_any_of(anchors(g, threshold))), _best_window(u["pairs"], u["line"], u["several"], name, g, threshold)) for name, g in known
+            ]
+            return F.array_min(F.array(_let(F.array_distinct(u["pairs"]), best), *inner))
+
+        line = F.flatten(F.transform(piece, lambda x, i: F.transform(F.split(x, " "), lambda _: i)))
+        text = F.array_join(piece, " ")
+        return _let(F.struct(text.alias("text"), _pairs(F.split(text, " ")).alias("pairs"), line.alias("line"), (F.size(piece) > 1).alias("several")), of)
+
+    anchored = F.col("plain").rlike(_any_of([a for _, g in known for a in anchors(g, threshold)]))
+    found = F.coalesce(F.transform("pieces", best_in), F.array().cast("array<struct<less:double,name:string>>"))
     return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("plain"))
-        .select("doc_id", units.alias("units"))
-        .select("doc_id", grams.alias("grams"), entries.alias("templates"))
-        .select("doc_id", F.filter(F.transform("grams", best), lambda x: x.isNotNull() & (x["less"] <= -threshold)).alias("found"))
+        .select("doc_id", "plain", anchored.alias("anchored"))
+        .select("doc_id", F.when(F.col("anchored"), pieces).alias("pieces"), entries.alias("templates"))
+        .select("doc_id", F.filter(found, lambda x: x.isNotNull() & (x["less"] <= -threshold)).alias("found"))
         .select(
             "doc_id",
             F.array_min("found")["name"].alias("license"),
@@ -119,7 +195,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle_sql(threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> str:
-    """The same as DuckDB SQL over ``documents``."""
+    """The same as DuckDB SQL over ``documents``, for units as a whole: notices that share their line or paragraph are not found."""
     rows = ", ".join(
         "('{}', [{}])".format(name.replace("'", "''"), ", ".join(f"'{g}'" for g in template_bigrams(text))) for name, text in sorted((templates or TEMPLATES).items())
     )

@@ -441,6 +441,25 @@ def test_licences(spark, empty):
     assert license_scan.license_scan(empty.select("doc_id", "text")).count() == 0
 
 
+def test_licences_within_longer_units(spark):
+    mit = license_scan.TEMPLATES["MIT permission"]
+    held = words(8, 200).split()
+    texts = [
+        "Great project. Released under the MIT License.", "We say: this is free and unencumbered new software released into the public domain, " + words(9, 40),
+        "a b\nc licensed under the Apache\nLicense, Version 2.0. d e\n" + words(9, 30), " ".join([*held, " ".join(mit.split()), *held]),
+        "the public domain of " + words(10, 60), "a b c\nReleased under the MIT License.\nd e f",
+    ]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    known = {name: set(license_scan.template_bigrams(t)) for name, t in license_scan.TEMPLATES.items()}
+    for k, text in enumerate(texts):
+        w = re.sub(r"[^\w]+", " ", text.lower()).split()
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        best = min((-2 * len(set(pairs[i:j]) & g) / (len(set(pairs[i:j])) + len(g)), n) for n, g in known.items() for i in range(len(pairs)) for j in range(i + 1, min(len(pairs), i + len(g) * 3 // 2) + 1))
+        expected = (best[1], -best[0], 1) if best[0] <= -0.8 else (None, None, 0)
+        assert tuple(got[k])[1:] == expected, k
+    assert [got[k]["license"] for k in range(6)] == ["MIT notice", "Unlicense", "Apache-2.0 notice", "MIT permission", None, "MIT notice"]
+
+
 def test_span_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"xxabcabcab", np.uint8)
     a = span_hashes(data, np.array([2, 5, 5]), np.array([5, 8, 7]))
