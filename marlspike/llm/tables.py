@@ -67,22 +67,34 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def head(text: Column, n: int) -> Column:
+    """The first whole characters of ``text`` that fit ``n`` bytes."""
+    raw = text.cast("binary")
+    # a cut is between characters where the next byte does not continue one
+    inside = lambda k: F.hex(F.substring(raw, k + 1, 1)).between("80", "BF")
+    cut = F.substring(raw, 1, n - 3)
+    for k in (n - 2, n - 1, n):
+        cut = F.when(inside(k), cut).otherwise(F.substring(raw, 1, k))
+    return F.when(F.octet_length(text) <= n, text).otherwise(cut.cast("string"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_docs: int, text_bytes: int):
-    """Texts and labels of at most ``sample_docs`` training rows of each label with at most ``text_bytes``.
+    """Texts and labels of at most ``sample_docs`` training rows of each label; of longer texts, the first ``text_bytes``.
 
-    Rows come by a hash of their id, so the sample is the same at every run. Returns an Arrow
-    array and a boolean array.
+    Rows come by a hash of their id, among those with a text, so the sample is the same at
+    every run. Returns an Arrow array and a boolean array.
     """
     import numpy as np
     import pyarrow as pa
 
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, text_bytes))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") > 0)
     order = F.xxhash64("doc_id")
-    drawn = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(4 * sample_docs) for k in (0, 1)]
-    small = F.broadcast(drawn[0].union(drawn[1]))  # 8 * sample_docs ids at most
-    found = texts.join(small, "doc_id").withColumn("order", order)
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    drawn = [usable.filter(F.col("label") == k).orderBy(order, "doc_id").limit(sample_docs) for k in (0, 1)]
+    small = F.broadcast(drawn[0].union(drawn[1]))  # 2 * sample_docs ids at most
+    found = texts.select("doc_id", head(F.col("text"), text_bytes).alias("text")).join(small, "doc_id").withColumn("order", order)
     rows = [found.filter(F.col("label") == k).orderBy("order", "doc_id").limit(sample_docs).select("text", "label").toArrow() for k in (0, 1)]
     sample = pa.concat_tables(rows).combine_chunks()
     if not sample.num_rows:

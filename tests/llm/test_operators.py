@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlspike.llm import embedding_dedup, exact_dedup, license_scan, near_dedup, packing, quality, sampling, suffix_array, suffix_dedup, toxicity, warc
 from marlspike.llm.components import components
+from marlspike.llm.tables import training_sample
 from marlspike.llm.textvec import flat_bytes, span_hashes
 
 DOC = "doc_id long, text string, sha string, kept string, id string"
@@ -351,6 +352,16 @@ def test_marginals_against_all_taggings(monkeypatch):
             assert np.allclose(toxicity.pair_counts(f, g, edges, m), pairs)
 
 
+def test_training_sample_of_long_texts_and_missing_ids(spark):
+    docs = spark.createDataFrame([(k, "é" * 50 if k % 3 else "x" + "é€😀" * 30) for k in range(0, 400, 10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 10 % 2) for k in range(400)], "doc_id long, quality int")
+    for n in (20, 21, 22, 23):
+        text, label = training_sample(docs, labels, "doc_id", "text", "quality", 3, n)
+        assert label.tolist() == [False] * 3 + [True] * 3
+        for t in text.to_pylist():
+            assert n - 4 < len(t.encode()) <= n and ("é" * 50).startswith(t) or ("x" + "é€😀" * 30).startswith(t)
+
+
 def test_toxicity(spark, empty):
     docs, labels = labelled(spark, "toxic")
     got = by_id(toxicity.toxicity(docs, labels))
