@@ -61,24 +61,31 @@ def choose_pivots(sample: np.ndarray, n: int, spread: float = PIVOT_SPREAD) -> n
     return sample[(kept + rest)[:n]]
 
 
-def _index(pivots: np.ndarray, nearest: int):
-    """A row for each vector and nearest pivot: the inverted lists."""
+def _index(pivots: dict[int, tuple[int, np.ndarray]], nearest: int):
+    """A row for each vector and nearest pivot: the inverted lists.
+
+    ``pivots`` has the first number and the pivots of each length; vectors of a length that it lacks share one list.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(2))
-            near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
-            rows = np.repeat(np.arange(len(x)), near.shape[1])
-            order = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), near.shape[1]).cast(pa.list_(pa.int32()))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel()), batch.column(0).take(take), batch.column(1).take(take), order.take(take), batch.column(2).take(take)],
-                names=["pivot", "id", "size", "nearest", "embedding"],
-            )
+            lengths = batch.column(2).value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                own = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                if d in pivots:
+                    first, known = pivots[d]
+                    near = (first + np.argsort(-(_matrix(own.column(2)) @ known.T), axis=1, kind="stable")[:, :nearest]).astype(np.int32)
+                else:
+                    near = np.full((own.num_rows, 1), -d, np.int32)
+                rows = np.repeat(np.arange(own.num_rows), near.shape[1])
+                order = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), near.shape[1]).cast(pa.list_(pa.int32()))
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.ravel()), own.column(0).take(take), own.column(1).take(take), order.take(take), own.column(2).take(take)],
+                    names=["pivot", "id", "size", "nearest", "embedding"],
+                )
 
     return run
 
@@ -120,7 +127,7 @@ def _compare(shared: int, threshold: float):
         near = np.stack(table.column("nearest").chunk(0).flatten().to_numpy().reshape(len(ids), -1))
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
-        linked = links_of(x, near, left, right, pivot, shared, threshold)
+        linked = links_of(x, near, left, right, pivot, min(shared, near.shape[1]), threshold)
         if low == high:
             np.fill_diagonal(linked, False)
         found = np.zeros(len(ids), np.int64)
@@ -159,28 +166,25 @@ def near_vectors(
     is measured in the tests); ``n_links`` counts the other vectors linked directly, and
     ``component_id`` is the smallest id reachable. Equal vectors are always linked.
 
+    Vectors are compared with those of their own length, and each length has its own index.
     Vectors that are null, zero, or hold null or non-finite components link with nothing,
-    and so do rows with a null id and vectors of another length than the most common one.
-    Rows count as vectors, so rows that repeat an id and its vector are linked; of different
+    and so do rows with a null id. Rows count as vectors, so rows that repeat an id and its vector are linked; of different
     vectors under one id, all but one link with nothing. Other columns are not read. An empty
     table gives an empty result.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     fit = rows.filter(usable() & F.col("vec_id").isNotNull())
-    dims = fit.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if dims is None:
-        return alone.withColumn("kept", F.lit(True))
-    classes = fit.filter(F.size("embedding") == dims["d"]).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
+    classes = fit.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
     classes = written(classes.dropDuplicates(["id"]).select("id", "size", "embedding"), "classes")
 
-    n = classes.count()
-    n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
-    drawn = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_PIVOT * n_pivots).select("embedding").toArrow()
-    pivots = choose_pivots(_matrix(drawn.column(0).combine_chunks()), n_pivots)
+    # few vectors of a length need no pivots: each is compared with each
+    pivots, first = {}, 0
+    for d, n in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().filter(F.col("count") > MIN_PIVOTS).collect()):
+        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
+        drawn = classes.filter(F.size("embedding") == d).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_PIVOT * n_pivots).select("embedding").toArrow()
+        pivots[d] = first, choose_pivots(_matrix(drawn.column(0).combine_chunks()), n_pivots)
+        first += len(pivots[d][1])
 
-    nearest = min(nearest, len(pivots))
     lists = written(classes.mapInArrow(_index(pivots, nearest), f"pivot int, id long, size long, nearest array<int>, embedding {dict(classes.dtypes)['embedding']}"), "lists")
     sizes = lists.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))  # a row for each pivot at most
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
@@ -191,7 +195,7 @@ def near_vectors(
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    found = dealt.select("pivot", "low", "high", "block", "id", "size", "nearest", "embedding").groupBy("pivot", "low", "high").applyInArrow(_compare(min(shared, nearest), threshold), "id long, links long, near long")
+    found = dealt.select("pivot", "low", "high", "block", "id", "size", "nearest", "embedding").groupBy("pivot", "low", "high").applyInArrow(_compare(shared, threshold), "id long, links long, near long")
     found = written(found, "found")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("near").alias("b")))

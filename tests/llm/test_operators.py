@@ -438,6 +438,20 @@ def test_near_vectors(spark, block):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows, near = [], {}
+    for d, n in ((24, 90), (16, 40), (3, 1)):
+        x = rng.normal(size=(n, d))
+        x = np.concatenate((x, x[: n // 2] + 0.05 * rng.normal(size=(n // 2, d)), x[:1]))
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        first = len(rows)
+        near |= {first + k: int(c) - 1 for k, c in enumerate((u @ u.T >= 0.9).sum(axis=1))}
+        rows += [(first + k, [float(v) for v in r]) for k, r in enumerate(x)]
+    got = by_id(embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert {k: r["n_links"] for k, r in got.items()} == near
+
+
 # licences
 
 def test_licences(spark, empty):
