@@ -2,7 +2,7 @@
 
 One hash function is applied to the shingles of a document; its sketch is the
 ``SKETCH`` least values. A pair at the threshold shares, but for a chance under
-1e-6, at least ``SHARED`` of them. So each document is listed under only the
+1e-6, at least ``SHARED`` of them (``bounds_of``). So each document is listed under only the
 rarest of its values, enough that two documents that share so many meet in a list
 (a document of few shingles is its own sketch, and there the bound is exact).
 Values that many documents hold come last, and lists of them stay short.
@@ -20,6 +20,8 @@ the least listed value it shares.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,8 @@ from .textvec import ASCII_LOWER, U64, flat_bytes, mix, ragged, row_sizes, span_
 SHINGLE_WORDS = 5
 THRESHOLD = 80
 SKETCH = 32
-SHARED = 13
-#: Sets below this size can only meet sets that fit a sketch whole.
-SMALL_SET = 26
+#: The chance to miss a pair at the threshold is below this.
+MISS = 1e-6
 #: Lists are cut to blocks of about so many documents, and so many shingles.
 LIST_BLOCK = 4096
 LIST_SHINGLES = 4_000_000
@@ -50,6 +51,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
+def bounds_of(threshold: int) -> tuple[int, int]:
+    """``SHARED, SMALL_SET`` of a threshold in percent.
+
+    A pair at the threshold shares at least ``SHARED`` sketch values but for a chance of
+    ``MISS``; sets below ``SMALL_SET`` can only meet sets that fit a sketch whole.
+    """
+    t = threshold / 100
+    less, shared = 0.0, 0
+    while shared < SKETCH and (less := less + math.comb(SKETCH, shared) * t**shared * (1 - t) ** (SKETCH - shared)) <= MISS:
+        shared += 1
+    if not shared or threshold > 100:
+        raise ValueError(f"sketches of {SKETCH} values cannot tell pairs at {threshold} percent")
+    return shared, math.floor(SKETCH * threshold / 100) + 1
+
+
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each row, repeats included, and the rows' bounds among them.
 
@@ -106,10 +122,11 @@ def listings(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ``sketch`` has the low 32 bits of each value, enough to compare two documents; the
     values under which the class is listed are its first ``room``.
     """
+    floor, small_set = bounds_of(threshold)
     held = classes.select("id", "n", F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("listed"), F.sum("n").alias("shingles")).filter("listed > 1")
     size = F.size("sketch")
-    least = F.when(F.col("n") < SMALL_SET, F.ceil(F.col("n") * threshold / 100)).otherwise(SHARED)
+    least = F.when(F.col("n") < small_set, F.ceil(F.col("n") * threshold / 100)).otherwise(floor)
     entry = F.struct("listed", "value", "shingles")
     shared = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("v"))
     # values that only one class holds are the rarest, and need no list
@@ -136,13 +153,14 @@ def _sketch_matrix(column) -> np.ndarray:
 def similar(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     """For each pair of rows: may its similarity reach the threshold, by sizes and by shared sketch values."""
     small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    floor, small_set = bounds_of(threshold)
     keep = np.flatnonzero(100 * small >= threshold * large)
     out = np.zeros(len(a), bool)
     for at in range(0, len(keep), PAIR_SLICE):
         k = keep[at : at + PAIR_SLICE]
         x = np.sort(np.concatenate((sk[a[k]], sk[b[k]]), axis=1), axis=1)
         same = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] >= 0)).sum(axis=1)
-        out[k] = same >= np.where(small[k] < SMALL_SET, np.ceil(large[k] * threshold / 100), SHARED)
+        out[k] = same >= np.where(small[k] < small_set, np.ceil(large[k] * threshold / 100), floor)
     return out
 
 
@@ -247,6 +265,8 @@ def _open_rows(threshold: int):
     the others stand in all blocks of their list, and meet each other in the first.
     """
 
+    floor, small_set = bounds_of(threshold)
+
     def run(batches):
         import pyarrow as pa
 
@@ -276,7 +296,7 @@ def _open_rows(threshold: int):
                     small, large = np.minimum(own_n[others], own_n[i]), np.maximum(own_n[others], own_n[i])
                     mark[number[i][own_sk[i] >= 0]] = True
                     common = mark[number[others]]
-                    fit = common.sum(axis=1) >= np.where(small < SMALL_SET, np.ceil(large * threshold / 100), SHARED)
+                    fit = common.sum(axis=1) >= np.where(small < small_set, np.ceil(large * threshold / 100), floor)
                     mark[number[i]] = False
                     others = others[fit]
                     if len(others):
@@ -402,8 +422,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     separators have no shingles and link with nothing. Rows that repeat an id count as
     one document. A row with a null id takes its copies' component; where it has no
     copy with an id, its ``component_id`` is null and it is kept. Other columns of
-    ``docs`` are not read. An empty table gives an empty result.
+    ``docs`` are not read. An empty table gives an empty result. Thresholds that sketches
+    cannot tell (below 36) raise an error.
     """
+    bounds_of(threshold)
     marked = written(sketches(docs, id_col, text_col, width), "sketches")
     groups = marked.filter("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     groups = written(groups, "groups")

@@ -145,6 +145,18 @@ def test_near_dedup(docs, width, monkeypatch):
             assert tuple(got[k])[1:] == (len(sets[k]), label[k], label[k] == k), k
 
 
+def test_near_dedup_at_lower_thresholds(spark):
+    assert near_dedup.bounds_of(80) == (13, 26)
+    with pytest.raises(ValueError):
+        near_dedup.bounds_of(30)
+    texts = [t for k in range(150) for n in (40, 300) for t in (words(1000 + k, n), words(1000 + k, n * 69 // 100) + " " + words(5000 + k, n * 31 // 100))]
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [(a, a + 1) for a in range(0, len(texts), 2) if 100 * len(sets[a] & sets[a + 1]) >= 50 * len(sets[a] | sets[a + 1])]
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=50))
+    assert len(links) > 100 and all(got[b]["component_id"] == a for a, b in links)
+    assert sum(not r["kept"] for r in got.values()) == len(links)
+
+
 def test_near_dedup_of_nothing(empty, spark):
     assert near_dedup.near_dedup(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
