@@ -96,6 +96,11 @@ def cross_join(ctx):
     return ctx.query("region").cross(ctx.query("nation").where(F.col("n_nationkey") < 7)).select("r_name", "n_name")
 
 
+@query("""SELECT r_name, n_name FROM region, nation""")
+def cross_join_all(ctx):
+    return ctx.query("region").cross(ctx.query("nation")).select("r_name", "n_name")
+
+
 @query("""SELECT a.c_custkey AS low, b.c_custkey AS high FROM customer a JOIN customer b
     ON a.c_nationkey = b.c_nationkey AND a.c_acctbal + 9000 < b.c_acctbal""")
 def theta_join(ctx):

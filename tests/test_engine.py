@@ -309,3 +309,8 @@ def test_date_diff_all_reads_every_order(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["date_diff_all"](spark, str(tmp_path)).collect()
     assert sorted((r["o_orderkey"], r["hours"], r["days"]) for r in got) == [(k, 36.0, 1) for k in (1, 2000, 9_000_000)]
+
+
+def test_cross_join_all_has_every_pair(spark):
+    got = {(r["r_name"], r["n_name"]) for r in QUERIES["cross_join_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 125
