@@ -8,14 +8,17 @@ rarest of its values, enough that two documents that share so many meet in a lis
 Values that many documents hold come last, and lists of them stay short.
 
 Within a list the sketch of the union estimates the overlap of a pair; pairs that
-pass are verified on their complete shingle sets. Documents with equal sets count
-as one from the start. A first round proposes a few partners for each document of a
-list, among them the documents that share most with all others, which ties groups of
-thousands together. A second round takes every remaining pair whose documents are not
-connected yet: the documents of such pairs, not the pairs, are gathered by list and
-compared there on their sets, so nothing grows with the square of a group and no link
-that matters to a component is left out. A pair is taken up in one list only, that of
-the least listed value it shares.
+pass are verified on their complete shingle sets. Documents with equal sets are one
+class from the start, and a class is a row: its number is that of a row that holds it.
+
+A pair belongs to one list, that of the rarest value it shares. A first round links each
+class of a list to one representative, so groups of any size become stars. A second
+round takes every remaining pair whose classes are not connected yet: lists that lie
+within one component are closed without being read, and of the others the classes
+outside the largest component are compared with the rest. Where these are many, the list
+is refined by the next value that its pairs share, if that makes less to compare.
+The documents of such pairs, not the pairs, are gathered by list and compared on their
+sets, so no link that matters to a component is left out.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .tables import batches_by_bytes, written
@@ -35,11 +39,15 @@ THRESHOLD = 80
 SKETCH = 32
 #: The chance to miss a pair at the threshold is below this.
 MISS = 1e-6
-#: Lists are cut to blocks of about so many documents, and so many shingles.
+#: Lists are cut to blocks of about so many classes, and so many shingles.
 LIST_BLOCK = 4096
 LIST_SHINGLES = 4_000_000
-#: In the first round, each document of a long list is compared with so many that share most with the list.
-HUBS = 3
+#: A list with more classes (or shingles of them) outside its largest component is refined.
+REFINE = 2048
+#: Lists are refined by so many shared values at most.
+REFINE_DEPTH = 3
+#: In the first round, so many representatives of a long list are tried.
+HUBS = 8
 #: In the first round, lists up to this length propose all pairs.
 ALL_PAIRS = 6
 #: Up to so many ids are broadcast (16 bytes each); more are joined by a shuffle.
@@ -94,54 +102,67 @@ def shingle_sets(column, width: int) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, mark1, mark2, sketch`` of each row; the marks identify the whole set."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``row, doc_id, n_shingles, mark1, mark2, sketch, text`` of each row, and a struct ``rest`` of the columns ``carry``.
+
+    The marks identify the whole set; ``row`` is a number of the row's own.
+    """
+    taken = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []),
+    )
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches_by_bytes(batches, lambda b: row_sizes(b.column(1)) + 256, SLICE_BYTES):
-            sets = shingle_sets(batch.column(1), width)
+        for batch in batches_by_bytes(batches, lambda b: row_sizes(b.column(2)) + 256, SLICE_BYTES):
+            sets = shingle_sets(batch.column(2), width)
             sizes = np.array([len(s) for s in sets], np.int64)
             marks = [(int(mix(s ^ U64(0x5851F42D4C957F2D)).sum()), int(np.bitwise_xor.reduce(mix(s + U64(0x14057B7EF767814F))))) for s in sets]
             marks = np.array(marks, dtype=U64).view(np.int64).reshape(-1, 2)
             offsets = np.concatenate(([0], np.cumsum(np.minimum(sizes, SKETCH)))).astype(np.int32)
             kept = np.concatenate([s[:SKETCH] for s in sets]).view(np.int64)
+            made = [pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))],
-                names=["doc_id", "n_shingles", "mark1", "mark2", "sketch"],
+                [batch.column(0), batch.column(1), *made, *batch.columns[2:]],
+                names=["row", "doc_id", "n_shingles", "mark1", "mark2", "sketch", *batch.schema.names[2:]],
             )
 
-    schema = "doc_id long, n_shingles long, mark1 long, mark2 long, sketch array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    made = [T.StructField(c, T.LongType()) for c in ("row", "doc_id", "n_shingles", "mark1", "mark2")] + [T.StructField("sketch", T.ArrayType(T.LongType()))]
+    return taken.mapInArrow(run, T.StructType(made + taken.schema.fields[2:]))
+
+
+def _least(n: Column, threshold: int) -> Column:
+    """How many sketch values a set of ``n`` shingles shares with any set like it."""
+    floor, small_set = bounds_of(threshold)
+    return F.when(n < small_set, F.ceil(n * threshold / 100)).otherwise(floor).cast("int")
 
 
 def listings(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``value, listed, blocks, id, n, sketch, room`` for the rarest values of each class that another class holds too.
+    """``key, last, blocks, id, n, sketch, room``: each class under its rarest values that another class holds too.
 
-    ``sketch`` has the low 32 bits of each value, enough to compare two documents; the
-    values under which the class is listed are its first ``room``.
+    ``sketch`` has the shared values in the order of their rarity, as codes of how many
+    classes hold a value and its low 32 bits; equal values have equal codes, and values that
+    are confused only make more pairs to verify. The class is listed under the first ``room``.
+    ``last`` is the code that makes the list, ``key`` a hash of the codes before it.
     """
-    floor, small_set = bounds_of(threshold)
     held = classes.select("id", "n", F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("listed"), F.sum("n").alias("shingles")).filter("listed > 1")
-    size = F.size("sketch")
-    least = F.when(F.col("n") < small_set, F.ceil(F.col("n") * threshold / 100)).otherwise(floor)
-    entry = F.struct("listed", "value", "shingles")
-    shared = held.join(common, "value").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("v"))
-    # values that only one class holds are the rarest, and need no list
-    named = classes.join(shared, "id").withColumn("room", (size - least + 1 - (size - F.size("v"))).cast("int"))
-    named = named.filter("room > 0").withColumn("v", F.slice("v", F.lit(1), F.greatest(F.col("room"), F.lit(0)))).withColumn("room", F.size("v"))
-    low = lambda x: F.shiftrightunsigned(F.shiftleft(x, 32), 32)
-    ordered = F.concat(F.col("v.value"), F.array_except("sketch", F.col("v.value")))
-    blocks = F.ceil(F.greatest(F.col("v.listed") / LIST_BLOCK, F.col("v.shingles") / LIST_SHINGLES)).cast("long")
-    return named.select("id", "n", F.transform(ordered, low).alias("sketch"), "room", F.explode("v").alias("v")).select(
-        "v.value", "v.listed", blocks.alias("blocks"), "id", "n", "sketch", "room"
+    low = F.shiftrightunsigned(F.shiftleft("value", 32), 32)
+    common = common.select("value", F.shiftleft(F.least("listed", F.lit((1 << 30) - 1)), 32).bitwiseOR(low).alias("code"), "listed", "shingles")
+    shared = held.join(common, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("code", "listed", "shingles"))).alias("v"))
+    room = (F.size("v") - _least(F.col("n"), threshold) + 1).cast("int")
+    named = shared.withColumn("room", room).filter("room > 0")
+    blocks = F.ceil(F.greatest(F.col("e.listed") / LIST_BLOCK, F.col("e.shingles") / LIST_SHINGLES)).cast("long")
+    return named.select("id", "n", F.col("v.code").alias("sketch"), "room", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("e")).select(
+        F.col("e.code").alias("key"), F.col("e.code").alias("last"), blocks.alias("blocks"), "id", "n", "sketch", "room"
     )
 
 
 def _sketch_matrix(column) -> np.ndarray:
-    """Sketches as rows of ``SKETCH`` 32-bit values; missing places get values of their own row."""
+    """Sketches as rows of ``SKETCH`` codes; missing places are -1."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.full((len(lengths), SKETCH), -1, np.int64)
@@ -150,20 +171,57 @@ def _sketch_matrix(column) -> np.ndarray:
     return out
 
 
-def similar(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """For each pair of rows: may its similarity reach the threshold, by sizes and by shared sketch values."""
-    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+def needed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    """How many sketch values sets of ``a`` and ``b`` shingles must share; more than a sketch has if their sizes tell them apart."""
+    small, large = np.minimum(a, b), np.maximum(a, b)
     floor, small_set = bounds_of(threshold)
-    keep = np.flatnonzero(100 * small >= threshold * large)
+    out = np.where(small < small_set, np.ceil(large * threshold / 100), floor)
+    return np.where(100 * small >= threshold * large, out, SKETCH + 1)
+
+
+def similar(sk: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, last: np.ndarray, threshold: int) -> np.ndarray:
+    """For each pair of rows: may its similarity reach the threshold, and is ``last`` the rarest value it shares."""
+    need = needed(n[a], n[b], threshold)
+    keep = np.flatnonzero(need <= SKETCH)
     out = np.zeros(len(a), bool)
     for at in range(0, len(keep), PAIR_SLICE):
         k = keep[at : at + PAIR_SLICE]
         x = np.sort(np.concatenate((sk[a[k]], sk[b[k]]), axis=1), axis=1)
-        same = ((x[:, 1:] == x[:, :-1]) & (x[:, 1:] >= 0)).sum(axis=1)
-        out[k] = same >= np.where(small[k] < small_set, np.ceil(large[k] * threshold / 100), floor)
+        same = (x[:, 1:] == x[:, :-1]) & (x[:, 1:] >= 0)
+        first = x[np.arange(len(k)), same.argmax(axis=1)]
+        out[k] = (same.sum(axis=1) >= need[k]) & (first == last[k])
     return out
 
 
+class List:
+    """One list's sketches, to compare one class with many."""
+
+    def __init__(self, sk: np.ndarray, n: np.ndarray, last: int, depth: int, threshold: int):
+        self.n, self.depth, self.threshold = n, depth, threshold
+        known, number = np.unique(sk, return_inverse=True)
+        self.number = number.reshape(sk.shape)
+        self.real = sk >= 0
+        self.upto = self.real & (sk <= last)
+        self.mark = np.zeros(len(known), bool)
+
+    def fame(self) -> np.ndarray:
+        """For each class, how often its values stand in the list."""
+        count = np.bincount(self.number.ravel(), minlength=len(self.mark))
+        return np.where(self.real, count[self.number], 0).sum(axis=1)
+
+    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may reach the threshold with ``i``, and first share the values that make the list."""
+        need = needed(self.n[others], self.n[i], self.threshold)
+        fit = need <= SKETCH
+        others, need = others[fit], need[fit]
+        mine = self.number[i][self.real[i]]
+        self.mark[mine] = True
+        common = self.mark[self.number[others]]
+        self.mark[mine] = False
+        fit = (common.sum(axis=1) >= need) & ((common & self.upto[others]).sum(axis=1) == self.depth)
+        return others[fit]
+
+
 def _runs(batches, n_keys: int):
     """Sorted batches cut at changes of their first columns: each yield is a table of whole runs."""
     import pyarrow as pa
@@ -213,109 +271,85 @@ def _pair_batch(a: np.ndarray, b: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _table_arrays(table):
-    ids = table.column("id").to_numpy()
-    n = table.column("n").to_numpy()
-    sk = _sketch_matrix(table.column("sketch").combine_chunks())
-    return ids, n, sk
+def _arrays(table):
+    columns = [table.column(c).to_numpy() for c in ("last", "id", "n")]
+    return *columns, _sketch_matrix(table.column("sketch").combine_chunks())
 
 
-def _few_pairs(threshold: int):
-    """All pairs of short lists; in longer ones each document with its neighbours in sketch order and the first."""
+def _star_pairs(threshold: int):
+    """All pairs of short lists; in longer ones each class with the first representative that it is similar to."""
 
     def run(batches):
-        for table in _runs(batches, 2):
-            bounds = _run_bounds(table, 2)
+        for table in _runs(batches, 3):
+            bounds = _run_bounds(table, 3)
             lengths = np.diff(bounds)
-            ids, n, sk = _table_arrays(table)
-            lefts, rights = [], []
+            last, ids, n, sk = _arrays(table)
+            lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for width in range(2, ALL_PAIRS + 1):
                 heads = bounds[:-1][lengths == width]
                 for i in range(width):
                     for j in range(i + 1, width):
                         lefts.append(heads + i)
                         rights.append(heads + j)
-            for head, length in zip(bounds[:-1][lengths > ALL_PAIRS], lengths[lengths > ALL_PAIRS]):
-                own = np.arange(head, head + length)
-                own = own[np.lexsort(sk[own].T[::-1])]
-                for gap in (1, 2):
-                    lefts.append(own[gap:])
-                    rights.append(own[:-gap])
-                _, number, count = np.unique(sk[own], return_inverse=True, return_counts=True)
-                fame = np.where(sk[own] >= 0, count[number.reshape(sk[own].shape)], 0).sum(axis=1)
-                for hub in own[np.argsort(-fame, kind="stable")[:HUBS]]:
-                    lefts.append(own)
-                    rights.append(np.full(length, hub))
-            if lefts:
-                a, b = np.concatenate(lefts), np.concatenate(rights)
-                fit = similar(sk, n, a, b, threshold)
-                if fit.any():
-                    yield _pair_batch(ids[a[fit]], ids[b[fit]])
+            a, b = np.concatenate(lefts), np.concatenate(rights)
+            fit = similar(sk, n, a, b, last[a], threshold)
+            lefts, rights = [a[fit]], [b[fit]]
+            for head, stop in zip(bounds[:-1][lengths > ALL_PAIRS], bounds[1:][lengths > ALL_PAIRS]):
+                held = List(sk[head:stop], n[head:stop], int(last[head]), 1, threshold)
+                left = np.lexsort((ids[head:stop], -held.fame()))
+                for _ in range(HUBS):
+                    if len(left) < 2:
+                        break
+                    hub, left = left[0], left[1:]
+                    near = held.partners(hub, left)
+                    lefts.append(head + near)
+                    rights.append(np.full(len(near), head + hub))
+                    left = left[~np.isin(left, near)]
+            a, b = np.concatenate(lefts), np.concatenate(rights)
+            if len(a):
+                yield _pair_batch(ids[a], ids[b])
 
     return run
 
 
-OPEN = "value long, salt long, id long, component_id long, minor boolean"
+OPEN = "key long, last long, salt long, id long, component_id long, minor boolean"
 
 
 def _open_rows(threshold: int):
-    """The documents of each block that may be similar to one of another component, ``minor`` being those to compare with all.
+    """The classes of each block that may be similar to one of another component, ``minor`` being those to compare with all.
 
     Main rows belong to the list's largest component and stand in one block each;
     the others stand in all blocks of their list, and meet each other in the first.
     """
 
-    floor, small_set = bounds_of(threshold)
-
     def run(batches):
         import pyarrow as pa
 
-        for table in _runs(batches, 2):
-            bounds = _run_bounds(table, 2)
-            ids, n, sk = _table_arrays(table)
-            room = table.column("room").to_numpy()
-            value, salt, label = (table.column(k).to_numpy() for k in ("value", "salt", "component_id"))
+        for table in _runs(batches, 3):
+            bounds = _run_bounds(table, 3)
+            last, ids, n, sk = _arrays(table)
+            key, salt, label, depth = (table.column(k).to_numpy() for k in ("key", "salt", "component_id", "depth"))
             main = table.column("main").to_numpy().astype(bool)
-            picked, minor_rows = [], []
+            picked = [np.zeros(0, np.int64)]
             for head, stop in zip(bounds[:-1], bounds[1:]):
                 if stop - head < 2 or (label[head:stop] == label[head]).all():
                     continue
-                own = slice(head, stop)
-                low, own_sk, own_n, own_label, own_main = int(value[head]) & 0xFFFFFFFF, sk[own], n[own], label[own], main[own]
-                listed = np.where(np.arange(SKETCH) < room[own][:, None], own_sk, -1)
-                known, number = np.unique(own_sk, return_inverse=True)
-                number = number.reshape(own_sk.shape)
-                mark = np.zeros(len(known), bool)
-                used, minor = np.zeros(stop - head, bool), np.flatnonzero(~own_main)
-                for i in minor:
-                    others = np.flatnonzero((own_label != own_label[i]) & (own_main | ((salt[head] == 0) & (np.arange(stop - head) > i))))
-                    small, large = np.minimum(own_n[others], own_n[i]), np.maximum(own_n[others], own_n[i])
-                    others = others[100 * small >= threshold * large]
-                    if not len(others):
-                        continue
-                    small, large = np.minimum(own_n[others], own_n[i]), np.maximum(own_n[others], own_n[i])
-                    mark[number[i][own_sk[i] >= 0]] = True
-                    common = mark[number[others]]
-                    fit = common.sum(axis=1) >= np.where(small < small_set, np.ceil(large * threshold / 100), floor)
-                    mark[number[i]] = False
-                    others = others[fit]
-                    if len(others):
-                        both = np.isin(listed[others], listed[i][listed[i] >= 0])
-                        first = np.where(both, listed[others], np.iinfo(np.int64).max).min(axis=1)
-                        others = others[first == low]
-                    if len(others):
-                        used[others] = True
+                own_label, own_main = label[head:stop], main[head:stop]
+                held = List(sk[head:stop], n[head:stop], int(last[head]), int(depth[head]), threshold)
+                used = np.zeros(stop - head, bool)
+                for i in np.flatnonzero(~own_main):
+                    later = (salt[head] == 0) & (np.arange(stop - head) > i)
+                    near = held.partners(i, np.flatnonzero((own_label != own_label[i]) & (own_main | later)))
+                    if len(near):
+                        used[near] = True
                         used[i] = True
-                k = head + np.flatnonzero(used)
-                picked.append(k)
-                minor_rows.append(~main[k])
-            if picked:
-                k = np.concatenate(picked)
-                if len(k):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(value[k]), pa.array(salt[k]), pa.array(ids[k]), pa.array(label[k]), pa.array(np.concatenate(minor_rows))],
-                        names=["value", "salt", "id", "component_id", "minor"],
-                    )
+                picked.append(head + np.flatnonzero(used))
+            k = np.concatenate(picked)
+            if len(k):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[k]), pa.array(last[k]), pa.array(salt[k]), pa.array(ids[k]), pa.array(label[k]), pa.array(~main[k])],
+                    names=["key", "last", "salt", "id", "component_id", "minor"],
+                )
 
     return run
 
@@ -326,8 +360,8 @@ def _verify_blocks(width: int, threshold: int):
     def run(batches):
         import pyarrow as pa
 
-        for table in _runs(batches, 2):
-            bounds = _run_bounds(table, 2)
+        for table in _runs(batches, 3):
+            bounds = _run_bounds(table, 3)
             ids, label = table.column("id").to_numpy(), table.column("component_id").to_numpy()
             minor, text = table.column("minor").to_numpy().astype(bool), table.column("text").combine_chunks()
             found = []
@@ -374,37 +408,77 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame | None:
-    """``id, component_id`` of each class that is linked with another, or None where no two share a value."""
+def _list_stats(known: DataFrame) -> DataFrame:
+    """For each list: its largest component, its blocks, ``cost`` in comparisons, and whether ``many`` classes are outside that component."""
+    per = known.groupBy("key", "last", "component_id").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    most = F.max(F.struct("c", "s", "component_id")).alias("most")
+    stat = per.groupBy("key", "last").agg(F.sum("c").alias("rows"), F.sum("s").alias("shingles"), most)
+    minor, minor_shingles = F.col("rows") - F.col("most.c"), F.col("shingles") - F.col("most.s")
+    blocks = F.ceil(F.greatest(F.col("rows") / LIST_BLOCK, F.col("shingles") / LIST_SHINGLES)).cast("long")
+    many = (minor > REFINE) | (minor_shingles > LIST_SHINGLES)
+    cost = minor.cast("double") * F.col("rows")
+    return written(stat.select("key", "last", F.col("most.component_id").alias("largest"), blocks.alias("blocks"), many.alias("many"), cost.alias("cost")), "stat")
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """The rows of ``lists`` that may hold pairs of different components, with ``component_id, main, salt, depth``.
+
+    A list of many classes outside its largest component is refined by the next value that a
+    pair shares if that halves the comparisons at least; a list of classes that share most of
+    their values would only be repeated by it.
+    """
+    floor, _ = bounds_of(threshold)
+    known = written(lists.drop("blocks").join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "known")
+    stat = _list_stats(known)
+    rows = None
+    for depth in range(1, min(floor, REFINE_DEPTH) + 1):
+        is_open = known.join(stat.filter("cost > 0"), ["key", "last"]).withColumn("depth", F.lit(depth)).withColumn("next", F.xxhash64("key", "last"))
+        part = is_open
+        again = depth < min(floor, REFINE_DEPTH) and stat.filter("many").limit(1).count() > 0
+        if again:
+            at = F.array_position("sketch", F.col("last")).cast("int")
+            after = F.slice("sketch", at + 1, F.greatest(F.lit(0), F.least(F.col("room") + depth, F.size("sketch")) - at))
+            finer = is_open.filter("many").select(F.col("next").alias("key"), F.explode(after).alias("last"), "id", "n", "sketch", "room", "component_id")
+            finer = written(finer, "finer")
+            finer_stat = _list_stats(finer)
+            costs = stat.filter("many").select(F.xxhash64("key", "last").alias("key"), (F.col("cost") / 2).alias("half"))
+            better = finer_stat.groupBy("key").agg(F.sum("cost").alias("sum")).join(costs, "key").filter("sum <= half").select("key")
+            better = written(better, "better")
+            # of a refined list, sets so small that pairs may share no further value are compared here
+            known, stat = finer.join(better, "key", "left_semi"), finer_stat.join(better, "key", "left_semi")
+            part = is_open.join(better.select(F.col("key").alias("next"), F.lit(True).alias("refined")), "next", "left")
+            part = part.filter(F.col("refined").isNull() | (_least(F.col("n"), threshold) <= depth)).drop("refined")
+        rows = part if rows is None else rows.union(part.select(rows.columns))
+        if not again:
+            break
+    main = F.col("component_id") == F.col("largest")
+    salts = F.when(main, F.array(F.pmod(F.xxhash64("id"), "blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return rows.select("key", "last", F.explode(salts).alias("salt"), "id", "n", "sketch", "component_id", main.alias("main"), "depth")
+
+
+def near_links(marked: DataFrame, classes: DataFrame, width: int, threshold: int) -> DataFrame | None:
+    """``id, component_id`` of each class that is linked with another, or None where no two share a value.
+
+    ``marked``: what ``sketches`` gives; ``classes``: ``id, n, sketch``, with ids that are rows of it.
+    """
     lists = written(listings(classes, threshold), "lists")
     named = written(lists.select("id").distinct(), "named")
     n_named = named.count()
     if not n_named:
         return None
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = written(texts.join(F.broadcast(named) if n_named <= BROADCAST_IDS else named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = marked.select(F.col("row").alias("id"), "text")
+    texts = written(texts.join(F.broadcast(named) if n_named <= BROADCAST_IDS else named, "id", "left_semi"), "texts")
 
+    by = ["key", "last", "salt"]
     blocks = F.col("blocks")
     # a long list is cut twice, by independent hashes, so its blocks overlap
     cuts = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(F.pmod(F.xxhash64("id", F.lit(1)), blocks), blocks + F.pmod(F.xxhash64("id", F.lit(2)), blocks)))
-    dealt = lists.select("value", F.explode(cuts).alias("salt"), "id", "n", "sketch").repartition("value", "salt").sortWithinPartitions("value", "salt")
-    few = written(dealt.mapInArrow(_few_pairs(threshold), "a long, b long").distinct(), "pairs")
+    dealt = lists.select("key", "last", F.explode(cuts).alias("salt"), "id", "n", "sketch").repartition(*by).sortWithinPartitions(*by)
+    few = written(dealt.mapInArrow(_star_pairs(threshold), "a long, b long").distinct(), "pairs")
     links = written(verified(few, texts, width, threshold), "links")
     labels = components(links)
 
-    known = written(lists.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "known")
-    long_lists = known.filter(blocks > 1)
-    most = long_lists.groupBy("value", "component_id").count().groupBy("value").agg(F.max_by("component_id", F.struct("count", "component_id")).alias("largest"))
-    is_main = F.col("component_id") == F.col("largest")
-    split = (
-        long_lists.join(most, "value")
-        .withColumn("main", is_main)
-        .withColumn("salt", F.explode(F.when(is_main, F.array(F.pmod(F.xxhash64("id"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
-    )
-    whole = known.filter(blocks == 1).withColumn("main", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
-    cols = ["value", "salt", "id", "n", "sketch", "room", "component_id", "main"]
-    by = ["value", "salt"]
-    open_lists = whole.select(cols).union(split.select(cols)).repartition(*by).sortWithinPartitions(*by)
+    open_lists = _open_lists(lists, labels, threshold).repartition(*by).sortWithinPartitions(*by)
     rows = written(open_lists.mapInArrow(_open_rows(threshold), OPEN), "open")
     with_text = rows.join(texts, "id").select(*by, "id", "component_id", "minor", "text").repartition(*by).sortWithinPartitions(*by)
     more = written(with_text.mapInArrow(_verify_blocks(width, threshold), "a long, b long"), "links")
@@ -413,32 +487,52 @@ def near_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     return components(links.union(more))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What ``sketches`` gives, and ``mark1, mark2, component_id, stays``: the smallest id of each set's component and the row that has it."""
+    bounds_of(threshold)
+    marked = written(sketches(docs, id_col, text_col, width, carry), "sketches")
+    # a class is numbered by its row of least id; null ids come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    groups = marked.filter("n_shingles > 0").groupBy("mark1", "mark2").agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    groups = written(groups.select("mark1", "mark2", F.col("first.row").alias("id"), "first", "n", "sketch"), "groups")
+    labels = near_links(marked, groups.select("id", "n", "sketch"), width, threshold)
+    named = groups.select("mark1", "mark2", "id", "first")
+    if labels is not None:
+        tied = written(labels.join(named.select("id", "first"), "id"), "tied")
+        roots = tied.groupBy("component_id").agg(F.min("first").alias("root"))
+        named = named.join(tied.join(roots, "component_id").select("id", "root"), "id", "left").withColumn("first", F.coalesce("root", "first"))
+    return marked, named.select("mark1", "mark2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("stays"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents whose distinct ``width``-word shingles have a Jaccard similarity of
     ``threshold`` percent or more are linked; ``component_id`` is the smallest id
     reachable, and that document is ``kept``. Null and empty texts and texts of
-    separators have no shingles and link with nothing. Rows that repeat an id count as
-    one document. A row with a null id takes its copies' component; where it has no
-    copy with an id, its ``component_id`` is null and it is kept. Other columns of
-    ``docs`` are not read. An empty table gives an empty result. Thresholds that sketches
-    cannot tell (below 36) raise an error.
+    separators have no shingles and link with nothing. Rows are compared whatever their
+    ids: rows that repeat an id each link by their own text, and rows with a null id link
+    like any other. The component of rows that all have null ids is null and they are kept.
+    Other columns of ``docs`` are not read. An empty table gives an empty result. Thresholds
+    that sketches cannot tell (below 36) raise an error.
     """
-    bounds_of(threshold)
-    marked = written(sketches(docs, id_col, text_col, width), "sketches")
-    groups = marked.filter("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    groups = written(groups, "groups")
-    classes = groups.filter("id is not null").dropDuplicates(["id"]).select("id", "n", "sketch")
-    labels = near_links(docs, classes, id_col, text_col, width, threshold)
-    named = groups.select("mark1", "mark2", "id")
-    if labels is not None:
-        named = named.join(labels, "id", "left").select("mark1", "mark2", "id", "component_id")
-    else:
-        named = named.withColumn("component_id", F.col("id"))
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("doc_id"))
+    marked, named = _grouped(docs, id_col, text_col, width, threshold)
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
         marked.select("doc_id", "n_shingles", "mark1", "mark2")
         .join(named, ["mark1", "mark2"], "left")
         .select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
     )
+
+
+def near_dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``near_dedup`` keeps: one of each component.
+
+    It is the row of smallest id; null ids count as larger than any other, and of rows that
+    repeat an id and its text one stays. Rows without shingles all stay.
+    """
+    carry = tuple(c for c in docs.columns if c != text_col)
+    marked, named = _grouped(docs, id_col, text_col, width, threshold, carry)
+    gone = marked.filter("n_shingles > 0").select("row", "mark1", "mark2").join(named, ["mark1", "mark2"]).filter("row <> stays").select("row")
+    kept = marked.select("row", "text", "rest").join(written(gone, "gone"), "row", "left_anti")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -133,9 +133,12 @@ def least_reachable(ids, links):
 
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_dedup(docs, width, monkeypatch):
-    for block, pairs in ((4096, 6), (3, 2)):  # long lists cut to blocks, and few pairs in the first round
+    # long lists cut to blocks and refined; few pairs in the first round; no stars in it, so that all links are left to the second
+    for block, pairs, refine, hubs in ((4096, 6, 2048, 8), (5, 2, 0, 0)) if width == 5 else ((3, 2, 1, 1),):
         monkeypatch.setattr(near_dedup, "LIST_BLOCK", block)
         monkeypatch.setattr(near_dedup, "ALL_PAIRS", pairs)
+        monkeypatch.setattr(near_dedup, "REFINE", refine)
+        monkeypatch.setattr(near_dedup, "HUBS", hubs)
         got = by_id(near_dedup.near_dedup(docs, width=width))
         sets = {k: shingle_set(t, width) for k, t in enumerate(TEXTS)}
         links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -163,6 +166,19 @@ def test_near_dedup_of_nothing(empty, spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_dedup(df).collect()) == [(0, 0, True), (0, 2, False), (2, 2, True), (2, 2, True)]
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    one, two = words(61, 60), words(62, 60)
+    rows = [(5, one), (7, one + " more"), (5, two), (9, two + " more"), (None, words(63, 50)), (None, words(63, 50) + " more"), (11, None)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in near_dedup.near_dedup(df).collect()))
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
+    # one row of each group stays, with all its columns
+    stays = {r["row"]: r for r in near_dedup.near_dedup_documents(df).collect()}
+    assert set(stays) - {4, 5} == {0, 2, 6} and len(stays) == 4
+    assert all((stays[k]["doc_id"], stays[k]["text"]) == rows[k] for k in stays)
+    assert near_dedup.near_dedup_documents(df.limit(0)).columns == df.columns
+
+
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_components(spark, bound):
     rng = np.random.default_rng(3)
