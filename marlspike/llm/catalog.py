@@ -112,29 +112,30 @@ ORACLE_SQL: dict[str, str] = {
         FROM r
     """,
     "op8_suffix_dedup": """
-        WITH body AS (
-            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
-        ), byte AS (
-            SELECT doc_id, n, unnest(range(0, n)) AS i, h FROM body
-        ), passage AS (
-            SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x,
-                   CASE WHEN i + 100 <= n THEN row_number() OVER (
-                       PARTITION BY CASE WHEN i + 100 <= n THEN md5(substr(h, 2 * i + 1, 200)) END ORDER BY doc_id, i) > 1
-                   ELSE false END AS again
-            FROM byte
-        ), judged AS (
-            SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
-            FROM passage
+        WITH body AS MATERIALIZED (
+            SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), passage AS MATERIALIZED (
+            SELECT doc_id, i, hash(b[i + 1:i + 100]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS i FROM body WHERE n >= 100)
+        ), earliest AS (
+            SELECT h, min({'doc': doc_id, 'at': i}) AS f FROM passage GROUP BY h HAVING count(*) > 1
+        ), again AS (
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last
+            FROM passage JOIN earliest USING (h) WHERE doc_id <> f.doc OR i <> f.at
         ), run AS (
-            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM judged
+            SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM again
+        ), span AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM run GROUP BY doc_id, k
+        ), piece AS (
+            SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM span
+            UNION ALL SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(hex(b[a + 1:coalesce(z, n)]), '' ORDER BY a) AS rest FROM piece JOIN body USING (doc_id) GROUP BY doc_id
         ), counted AS (
-            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-                   string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS rest
-            FROM run GROUP BY doc_id
+            SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id
         )
-        SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-               sha256(unhex(coalesce(rest, ''))) AS kept_sha256
-        FROM body b LEFT JOIN counted c ON c.doc_id = b.doc_id
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN n_removed > 0 THEN unhex(rest) ELSE b END) AS kept_sha256
+        FROM body LEFT JOIN counted USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
     "op9_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (

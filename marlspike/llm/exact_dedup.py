@@ -233,11 +233,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each different content, all columns unchanged.
 
-    ``docs`` is taken to have an id in each row; of rows that repeat both id and content one stays.
+    Of rows that repeat both id and content one stays, and so does one row of a content whose
+    ids are all null. Columns may have any names. An empty table gives an empty result.
     """
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    keep = exact_groups(docs, id_col, text_col).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
-    tagged = docs.withColumn("__sha", F.unhex(F.sha2(plain.cast("binary"), 256))).withColumn("__keep", F.col(id_col).cast("long"))
-    both = ["__sha", "__keep"]
-    stays = tagged.alias("d").join(keep.alias("k"), (F.col("d.__sha") == F.col("k.__sha")) & F.col("d.__keep").eqNullSafe(F.col("k.__keep")), "left_semi")
-    return stays.dropDuplicates(both).drop(*both)
+    keep = exact_groups(docs, id_col, text_col).select("sha", "keep_id")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.sha2(plain.cast("binary"), 256)).alias("sha"), F.col(id_col).cast("long").alias("keep_id"))
+    stays = tagged.alias("d").join(keep.alias("k"), (F.col("d.sha") == F.col("k.sha")) & F.col("d.keep_id").eqNullSafe(F.col("k.keep_id")), "left_semi")
+    return stays.dropDuplicates(["sha", "keep_id"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

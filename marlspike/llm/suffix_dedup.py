@@ -12,7 +12,9 @@ mostly share their least word and travel as one stretch.
 2. Each chunk reports its least words; words that several chunks report, or that occur
    twice in one, are the only ones that can carry a repeat.
 3. Each chunk sends its stretches with such words to their shards, each different
-   content once, with its earliest place; later copies in the chunk repeat wholly.
+   content once, with its earliest place; later copies in the chunk repeat wholly. A word
+   with more text around it than a suffix array takes is hot: its passages are dealt anew
+   by their least ``WIDE``-byte word, so they part wherever their surroundings differ.
 4. A shard builds a suffix array of its contents by induced sorting, with permuted
    common prefixes, and finds each passage's earliest place.
 5. What repeats goes back to its chunk, which removes the bytes.
@@ -25,6 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .suffix_array import permuted_prefixes, suffix_array
 from .tables import batches_by_bytes, written
@@ -32,17 +35,24 @@ from .textvec import U64, flat_bytes, mix, ragged, row_sizes, window_min
 
 LENGTH = 100
 WORD = 32
+WIDE = 88
 CHUNK_BYTES = 2 << 20
 #: Bytes of text whose least words one task compares.
 WORD_SHARE = 32 << 20
 #: Bytes of stretches in a shard, and in one suffix array.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
 ARRAY_BYTES = 1 << 20
+#: Words with more bytes of stretches than this are hot.
+HOT_BYTES = 1 << 20
+#: Shards for each task that reads them, as long as these are no more than MAX_TASKS.
+TASK_SHARDS = 2
+MAX_TASKS = 50_000
 #: Beyond so many chunks, equal contents are merged in groups of chunks before they meet in a shard.
 MERGE_CHUNKS = 4096
 
-CHUNK = "chunk long, n_bytes long, ids binary, bounds binary, body binary"
-PLACED = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("length", "<i4"), ("twice", "<i4"), ("word", "<u8")])
+CHUNK = "chunk long, n_bytes long, ids binary, bounds binary, body binary, rest binary"
+REPORT = np.dtype([("word", "<u8"), ("n", "<i8")])
+PLACED = np.dtype([("doc", "<i8"), ("chunk", "<i8"), ("start", "<i8"), ("row", "<i4"), ("length", "<i4"), ("twice", "<i4"), ("word", "<u8")])
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("stop", "<i8")])
 
 
@@ -64,8 +74,11 @@ def _rows(names: list[str], types: list, rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` packed into rows of about ``CHUNK_BYTES`` of text; null texts are empty, null ids sort last."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` packed into rows of about ``CHUNK_BYTES`` of text; null texts are empty, null ids sort last.
+
+    ``rest`` has the columns ``carry`` of the rows, and which texts are null, as an Arrow stream.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -78,10 +91,19 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids[known] = batch.column(0).drop_null().to_numpy()
             held = np.concatenate((ids, known.astype(np.int64)))
-            yield _rows(["chunk", "n_bytes", "ids", "bounds", "body"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], [(number, len(data), held.tobytes(), bounds.tobytes(), _zip(data, 5))])
+            rest = b""
+            if carry:
+                sink = pa.BufferOutputStream()
+                own = pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).is_null()], names=["rest", "null"])
+                with pa.ipc.new_stream(sink, own.schema) as stream:
+                    stream.write_batch(own)
+                rest = _zip(sink.getvalue())
+            row = (number, len(data), held.tobytes(), bounds.tobytes(), _zip(data, 5), rest)
+            yield _rows(["chunk", "n_bytes", "ids", "bounds", "body", "rest"], [pa.int64(), pa.int64(), *[pa.binary()] * 4], [row])
             number += 1
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, CHUNK)
+    own = [F.struct(*[F.col(f"`{c}`") for c in carry])] if carry else []
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), *own).mapInArrow(run, CHUNK)
 
 
 class Chunk:
@@ -91,12 +113,12 @@ class Chunk:
         self.bounds = np.frombuffer(bounds, np.int64)
         self.data = np.frombuffer(_unzip(body), np.uint8)
 
-    def stretches(self, length: int):
-        """``starts, stops, rows, words, twice``: passages that start in ``[start, stop)`` have the least word ``word``.
+    def stretches(self, length: int, width: int = WORD):
+        """``starts, stops, rows, words, twice``: passages that start in ``[start, stop)`` have the least word ``word`` of ``width`` bytes.
 
         ``twice``: that word stands at several places in them, so they may repeat among themselves.
         """
-        found = [_stretches(self.data[a : b + length - 1], length, a) for a, b in self._blocks(length)]
+        found = [_stretches(self.data[a : b + length - 1], length, a, width) for a, b in self._blocks(length)]
         none = np.zeros(0, np.int64)
         starts, stops, words, twice = (np.concatenate(x) for x in zip(*found)) if found else (none, none, none.astype(U64), none > 0)
         # passages stay within their document
@@ -119,22 +141,36 @@ class Chunk:
         k = k[keep]
         return s[keep], e[keep], r[keep], words[k], twice[k]
 
+    def dealt_anew(self, stretches: tuple, hot: np.ndarray, length: int) -> tuple:
+        """``stretches`` with those of the words ``hot`` cut by wide words, which take the words' place."""
+        is_hot = np.isin(stretches[3], hot)
+        if not is_hot.any():
+            return stretches
+        wide = self.stretches(length, WIDE)
+        by = np.argsort(wide[0], kind="stable")
+        starts, stops, _, words, twice = (x[by] for x in wide)
+        s, e, r = (x[is_hot] for x in stretches[:3])
+        low, high = np.searchsorted(starts, s, side="right") - 1, np.searchsorted(starts, e, side="left")
+        k, owner = ragged(low, high - low), np.repeat(np.arange(len(s)), high - low)
+        cut = (np.maximum(starts[k], s[owner]), np.minimum(stops[k], e[owner]), r[owner], mix(words[k] + U64(WIDE)), twice[k])
+        return tuple(np.concatenate((x[~is_hot], y)) for x, y in zip(stretches, cut))
+
     def _blocks(self, length: int):
         last = len(self.data) - length + 1
         for a in range(0, last, CHUNK_BYTES):
             yield a, min(a + CHUNK_BYTES, last)
 
 
-def _stretches(data: np.ndarray, length: int, base: int):
+def _stretches(data: np.ndarray, length: int, base: int, size: int):
     """Stretches of ``data``, whose every position up to its last ``length - 1`` starts a passage."""
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     words = np.ascontiguousarray(words).view(np.uint64)[:, 0]
-    n = len(data) - WORD + 1
+    n = len(data) - size + 1
     h = np.zeros(n, U64)
-    for k in range(WORD // 8):
+    for k in range(size // 8):
         h += words[8 * k : 8 * k + n] * U64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
     h = mix(h)
-    least = window_min(h, length - WORD + 1)
+    least = window_min(h, length - size + 1)
     # where the least word stands: its first place at or after the passage's start
     new = np.ones(len(least), bool)
     new[1:] = least[1:] != least[:-1]
@@ -150,7 +186,7 @@ def _stretches(data: np.ndarray, length: int, base: int):
         ends = np.minimum(np.repeat(stops, parts), heads + (step + 1) * 2 * length)
         starts, stops = heads + step * 2 * length, np.where(np.repeat(long_, parts), ends, np.repeat(stops, parts))
     # all places of least words, and how many of them a stretch has with its own word
-    width = length - WORD + 1
+    width = length - size + 1
     reach = ~window_min(~np.concatenate((np.full(width - 1, least[0]), least, np.full(width - 1, least[-1]))), width)
     places = np.flatnonzero(h == reach)
     low, high = np.searchsorted(places, starts), np.searchsorted(places, stops + width - 1)
@@ -162,40 +198,51 @@ def _stretches(data: np.ndarray, length: int, base: int):
 
 
 def _word_reports(length: int, shares: int):
+    """For each share of the words, those of a chunk with the number of their stretches."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(5))):
-                chunk, _, ids, bounds, body = (x.as_py() for x in row)
-                words = np.unique(Chunk(ids, bounds, body).stretches(length)[3])
+            for row in zip(*batch.columns):
+                chunk, ids, bounds, body = (x.as_py() for x in row)
+                words, n = np.unique(Chunk(ids, bounds, body).stretches(length)[3], return_counts=True)
+                report = np.zeros(len(words), REPORT)
+                report["word"], report["n"] = words, n
                 share = (words % U64(shares)).astype(np.int64)
                 by = np.argsort(share, kind="stable")
                 cut = np.append(np.flatnonzero(np.diff(share[by], prepend=-1)), len(by))
                 if len(words):
-                    yield _rows(["share", "chunk", "words"], [pa.int64(), pa.int64(), pa.binary()], [(int(share[by[a]]), chunk, words[by[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
+                    yield _rows(["share", "chunk", "words"], [pa.int64(), pa.int64(), pa.binary()], [(int(share[by[a]]), chunk, report[by[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
 
     return run
 
 
-def _common_words(table):
-    """Of one share, the words that more than one chunk reports, by chunk."""
-    import pyarrow as pa
+def _common_words(length: int):
+    """Of one share, the words that more than one chunk reports, by chunk, and which of them are hot."""
 
-    reports = [np.frombuffer(x.as_py(), U64) for x in table.column("words")]
-    words = np.concatenate(reports)
-    chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in reports])
-    by = np.argsort(words, kind="stable")
-    same = words[by[1:]] == words[by[:-1]]
-    common = np.zeros(len(by), bool)
-    common[by[1:]] |= same
-    common[by[:-1]] |= same
-    words, chunk = words[common], chunk[common]
-    by = np.argsort(chunk, kind="stable")
-    cut = np.append(np.flatnonzero(np.diff(chunk[by], prepend=-1)), len(by))
-    rows = [(int(chunk[by[a]]), b - a, words[by[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
-    return pa.table({k: pa.array(list(c), schema.field(k).type) for k, c in zip(schema.names, zip(*rows))}, schema=schema) if rows else schema.empty_table()
+    def run(table):
+        import pyarrow as pa
+
+        reports = [np.frombuffer(x.as_py(), REPORT) for x in table.column("words")]
+        held = np.concatenate(reports)
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in reports])
+        words, group, count = np.unique(held["word"], return_inverse=True, return_counts=True)
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, group, held["n"])
+        is_hot = (total * (length + length // 3) > HOT_BYTES)[group]
+        common = (count[group] > 1) | is_hot
+        held, chunk, is_hot = held[common], chunk[common], is_hot[common]
+        by = np.argsort(chunk, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(chunk[by], prepend=-1)), len(by))
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            k = by[a:b]
+            rows.append((int(chunk[k[0]]), int(held["n"][k].sum()), held["word"][k].tobytes(), held["word"][k[is_hot[k]]].tobytes()))
+        schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("hot", pa.binary())])
+        return pa.table({k: pa.array(list(c), schema.field(k).type) for k, c in zip(schema.names, zip(*rows))}, schema=schema) if rows else schema.empty_table()
+
+    return run
 
 
 def _content_rows(contents: list[bytes], placed: np.ndarray, shards: int):
@@ -209,7 +256,7 @@ def _content_rows(contents: list[bytes], placed: np.ndarray, shards: int):
 
 def _earliest(contents: list[bytes], placed: np.ndarray):
     """Each different content with its earliest place; and the places of the others."""
-    order = np.lexsort((placed["start"], placed["row"], placed["doc"]))
+    order = np.lexsort((placed["start"], placed["row"], placed["chunk"], placed["doc"]))
     first: dict[bytes, int] = {}
     later = []
     for k in order:
@@ -221,9 +268,9 @@ def _earliest(contents: list[bytes], placed: np.ndarray):
 
 def _span_rows(placed: np.ndarray, starts: np.ndarray, n_starts: np.ndarray, length: int):
     """``(chunk, spans)`` for runs of ``n_starts`` repeating passages from ``starts`` on, in documents ``placed``."""
-    chunk = placed["row"] >> 20
+    chunk = placed["chunk"]
     spans = np.zeros(len(placed), SPAN)
-    spans["row"], spans["start"], spans["stop"] = placed["row"] & 0xFFFFF, starts, starts + n_starts + length - 1
+    spans["row"], spans["start"], spans["stop"] = placed["row"], starts, starts + n_starts + length - 1
     by = np.argsort(chunk, kind="stable")
     cut = np.append(np.flatnonzero(np.diff(chunk[by], prepend=-1)), len(by))
     return [(int(chunk[by[a]]), spans[by[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
@@ -245,9 +292,10 @@ def _send(length: int, shards: int):
     def run(batches):
         for batch in batches:
             for row in zip(*batch.columns):
-                chunk, ids, bounds, body, common = (x.as_py() for x in row)
+                chunk, ids, bounds, body, common, hot = (x.as_py() for x in row)
                 held = Chunk(ids, bounds, body)
-                s, e, r, w, twice = held.stretches(length)
+                found = held.stretches(length)
+                s, e, r, w, twice = found
                 known = np.sort(np.concatenate([np.frombuffer(x, U64) for x in common])) if common else np.zeros(0, U64)
                 here, count = np.unique(w, return_counts=True)
                 wanted = np.union1d(known, np.union1d(here[count > 1], w[twice]))
@@ -255,9 +303,10 @@ def _send(length: int, shards: int):
                     continue
                 at = np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)
                 k = np.flatnonzero(wanted[at] == w)
-                s, e, r, w, twice = s[k], e[k], r[k], w[k], twice[k]
-                placed = np.zeros(len(k), PLACED)
-                placed["doc"], placed["row"], placed["start"] = held.ids[r], (chunk << 20) + r, s - held.bounds[r]
+                hot = np.concatenate([np.frombuffer(x, U64) for x in hot]) if hot else np.zeros(0, U64)
+                s, e, r, w, twice = held.dealt_anew(tuple(x[k] for x in found), hot, length)
+                placed = np.zeros(len(s), PLACED)
+                placed["doc"], placed["chunk"], placed["row"], placed["start"] = held.ids[r], chunk, r, s - held.bounds[r]
                 placed["length"], placed["word"], placed["twice"] = e - s, w, twice
                 data = held.data.tobytes()
                 contents = [data[a:b] for a, b in zip(s.tolist(), (e + length - 1).tolist())]
@@ -315,7 +364,7 @@ def _repeats(contents: list[bytes], placed: np.ndarray, length: int) -> tuple[np
     passage = offset < placed["length"][owner]
     k = passage[order]
     at, group = order[k], group[k]
-    rank = np.lexsort((placed["start"][owner[at]] + offset[at], placed["row"][owner[at]], placed["doc"][owner[at]]))
+    rank = np.lexsort((placed["start"][owner[at]] + offset[at], *(placed[f][owner[at]] for f in ("row", "chunk", "doc"))))
     place = np.empty(len(at), np.int64)
     place[rank] = np.arange(len(at))
     cut = np.flatnonzero(np.diff(group, prepend=-1))
@@ -364,13 +413,13 @@ def _shard(length: int):
     return run
 
 
-def _cut(with_text: bool):
+def _cut(length: int, schema: T.StructType, with_text: bool, carry: tuple[str, ...], text_col: str):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in zip(*batch.columns):
-                ids, bounds, body, spans = (x.as_py() for x in row)
+                ids, bounds, body, rest, spans = (x.as_py() for x in row)
                 held = Chunk(ids, bounds, body)
                 gone = np.zeros(len(held.data) + 1, np.int32)
                 for x in spans or ():
@@ -383,6 +432,9 @@ def _cut(with_text: bool):
                 inner = held.bounds[:-1][held.bounds[:-1] < len(gone)]
                 edge[inner] = gone[inner]
                 spans_to, gone_to = (np.concatenate(([0], np.cumsum(x))) for x in (edge, gone))
+                if carry:
+                    yield _carried(held, gone, gone_to, pa.ipc.open_stream(_unzip(rest)).read_next_batch(), schema, text_col)
+                    continue
                 out = []
                 for k, (a, b) in enumerate(zip(held.bounds[:-1], held.bounds[1:])):
                     kept = held.data[a:b][~gone[a:b]].tobytes()
@@ -398,6 +450,22 @@ def _cut(with_text: bool):
     return run
 
 
+def _carried(held: Chunk, gone: np.ndarray, gone_to: np.ndarray, rest, schema: T.StructType, text_col: str):
+    """The rows as they were, but for their texts and a last column with the number of removed bytes."""
+    import pyarrow as pa
+
+    null = rest.column(1).to_numpy(zero_copy_only=False)
+    texts = []
+    for k, (a, b) in enumerate(zip(held.bounds[:-1], held.bounds[1:])):
+        text = _whole_characters(held.data[a:b], gone[a:b]) if gone_to[b] > gone_to[a] else held.data[a:b].tobytes()
+        texts.append(None if null[k] else text.decode())
+    own = rest.column(0)
+    columns = {f.name: own.field(i) for i, f in enumerate(own.type)}
+    removed = gone_to[held.bounds[1:]] - gone_to[held.bounds[:-1]]
+    names = [f.name for f in schema]
+    return pa.RecordBatch.from_arrays([*[pa.array(texts, pa.string()) if c == text_col else columns[c] for c in names[:-1]], pa.array(removed)], names=names)
+
+
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
     """What stays when a character goes only if all its bytes do."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
@@ -405,29 +473,16 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
     return data[~np.repeat(whole, np.diff(np.append(lead, len(data))))].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
-
-    Removed is each byte of a ``length``-byte string that also starts earlier; strings are
-    compared as UTF-8 and judged on the input. With ``with_text`` a column ``kept_text``
-    follows: what stays in whole characters, so a character is lost only if all its bytes
-    are removed (``n_removed`` and ``kept_sha256`` count bytes).
-
-    Null and empty texts and texts shorter than ``length`` lose nothing. A null id counts as
-    larger than any other; rows that repeat an id are compared in the order they are read.
-    Other columns of ``docs`` are not read. An empty table gives an empty result.
-    """
-    if length < WORD + 8:
-        raise ValueError(f"length must be at least {WORD + 8}")
-    held = written(chunks(docs, id_col, text_col), "chunks", "none")
+def _spans(held: DataFrame, length: int) -> DataFrame:
+    """``chunk, spans`` of what repeats in ``held``, the chunks."""
     n_chunks, n_bytes = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     shares = max(1, -(-n_bytes // WORD_SHARE))
-    reports = held.mapInArrow(_word_reports(length, shares), "share long, chunk long, words binary")
-    common = written(reports.groupBy("share").applyInArrow(_common_words, "chunk long, n long, words binary"), "common", "none")
+    reports = held.select("chunk", "ids", "bounds", "body").mapInArrow(_word_reports(length, shares), "share long, chunk long, words binary")
+    common = written(reports.groupBy("share").applyInArrow(_common_words(length), "chunk long, n long, words binary, hot binary"), "common", "none")
     n_common = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-n_common * (length + length // 3) // SHARD_BYTES))
-    asked = common.groupBy("chunk").agg(F.collect_list("words").alias("common"))
-    told = held.join(asked, "chunk", "left").select("chunk", "ids", "bounds", "body", "common")
+    asked = common.groupBy("chunk").agg(F.collect_list("words").alias("common"), F.collect_list("hot").alias("hot"))
+    told = held.join(asked, "chunk", "left").select("chunk", "ids", "bounds", "body", "common", "hot")
     out = "shard long, chunk long, places binary, body binary"
     sent = written(told.mapInArrow(_send(length, shards), out), "sent", "none")
     spans = sent.filter("shard is null").select("chunk", F.col("places").alias("spans"))
@@ -439,7 +494,43 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         merged = written(salted.groupBy("shard", "chunk").applyInArrow(_merge(length, shards), out), "merged", "none")
         spans = spans.union(merged.filter("shard is null").select("chunk", F.col("places").alias("spans")))
         contents = merged.filter("shard is not null")
-    found = contents.select("shard", "places", "body").groupBy("shard").applyInArrow(_shard(length), "chunk long, spans binary")
-    by_chunk = spans.union(found).groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
-    return held.join(by_chunk, "chunk", "left").select("ids", "bounds", "body", "spans").mapInArrow(_cut(with_text), schema)
+    tasks = min(MAX_TASKS, -(-shards // TASK_SHARDS))
+    dealt = contents.select("shard", "places", "body").repartition(tasks, "shard")
+    found = dealt.groupBy("shard").applyInArrow(_shard(length), "chunk long, spans binary")
+    return spans.union(found).groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, with_text: bool, carry: tuple[str, ...], schema: T.StructType) -> DataFrame:
+    if length < WIDE + 8:
+        raise ValueError(f"length must be at least {WIDE + 8}")
+    held = written(chunks(docs, id_col, text_col, carry), "chunks", "none")
+    told = held.join(_spans(held, length), "chunk", "left").select("ids", "bounds", "body", "rest", "spans")
+    return told.mapInArrow(_cut(length, schema, with_text, carry, text_col), schema)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+
+    Removed is each byte of a ``length``-byte string that also starts earlier; strings are
+    compared as UTF-8 and judged on the input. With ``with_text`` a column ``kept_text``
+    follows: what stays in whole characters, so a character is lost only if all its bytes
+    are removed (``n_removed`` and ``kept_sha256`` count bytes).
+
+    Null and empty texts and texts shorter than ``length`` lose nothing. A null id counts as
+    larger than any other; rows that repeat an id are compared in the order they are read.
+    Other columns of ``docs`` are not read. An empty table gives an empty result.
+    """
+    longs = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    text = [T.StructField("kept_text", T.BinaryType())] if with_text else []
+    return _removed(docs, id_col, text_col, length, with_text, (), T.StructType([*longs, T.StructField("kept_sha256", T.StringType()), *text]))
+
+
+def suffix_dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, removed: str = "n_removed") -> DataFrame:
+    """The rows of ``docs``, one for one, without the bytes that ``suffix_dedup`` removes, in whole characters.
+
+    All other columns stay as they are, and ``removed`` follows: the number of removed bytes.
+    A null text stays null. Rows are told apart by their place, so repeated and null ids do no harm.
+    """
+    carry = tuple(c for c in docs.columns if c != text_col)
+    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
+    return _removed(docs, id_col, text_col, length, True, carry, T.StructType([*fields, T.StructField(removed, T.LongType())]))

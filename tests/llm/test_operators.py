@@ -221,10 +221,11 @@ def brute_suffix(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("chunk", [2 << 20, 3000])
-def test_suffix_dedup(docs, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk,hot", [(2 << 20, 1 << 20), (3000, 1)])
+def test_suffix_dedup(docs, chunk, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(suffix_dedup, "MERGE_CHUNKS", 5)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)  # of 1: each word is dealt anew by wide words
     got = by_id(suffix_dedup.suffix_dedup(docs))
     for k, row in brute_suffix(enumerate(TEXTS)).items():
         assert tuple(got[k])[1:] == row, k
@@ -239,6 +240,18 @@ def test_suffix_dedup_keeps_whole_characters(spark, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_repeated_ids_keeps_rows_and_columns(spark, empty):
+    shared = words(71, 40)
+    rows = [(5, shared, 1), (5, "other text", 2), (7, "lead " + shared + " tail", 3), (None, None, 4), (None, shared, 5), (8, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed long").repartition(2)
+    got = {r[2]: r for r in suffix_dedup.suffix_dedup_documents(df, removed="gone").collect()}
+    assert len(got) == 6 and [got[k][0] for k in range(1, 7)] == [5, 5, 7, None, None, 8]
+    assert got[1][1] == shared and got[2][1] == "other text" and got[4][1] is None and got[6][1] == ""
+    assert "lead" in got[3][1] and "tail" in got[3][1] and len(got[3][1]) < 20 and got[5][1] == "" and got[5][3] == len(shared.encode())
+    assert suffix_dedup.suffix_dedup_documents(empty).columns == [*empty.columns, "n_removed"]
+    assert suffix_dedup.suffix_dedup_documents(empty).count() == 0
+
+
 # packing
 
 def test_packing(docs, empty):
