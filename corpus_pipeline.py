@@ -27,17 +27,15 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8), the document with the smallest id stays."""
-    found = near_dedup.near_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near duplicates (five words, similarity 0.8), the document with the smallest id stays; of rows that repeat it, one."""
+    return near_dedup.near_dedup_documents(docs.select(COLUMNS))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that also start earlier go, in whole characters; ``n_chars`` follows. Documents stay, if empty."""
-    cut = suffix_dedup.suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("kept_text").cast("string").alias("kept_text"))
-    joined = docs.join(written(cut, "cut"), "doc_id", "left")
-    text = F.coalesce("kept_text", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.coalesce(F.length("kept_text").cast("long"), F.col("n_chars")).alias("n_chars"))
+    """Bytes of 100-byte strings that also start earlier go, in whole characters; ``n_chars`` follows. All rows stay, if empty."""
+    cut = suffix_dedup.suffix_dedup_documents(docs.select(COLUMNS))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
