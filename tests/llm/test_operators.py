@@ -458,7 +458,8 @@ def test_quality_gradients():
 # vectors
 
 @pytest.mark.parametrize("block", [1024, 16])
-def test_near_vectors(spark, block):
+def test_near_vectors(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MAX_BLOCKS", 4 if block > 16 else 1)  # long lists refined
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 24))
     x = np.concatenate((base, base[:60] + 0.2 * rng.normal(size=(60, 24)), np.repeat(base[:2], 25, axis=0), 3 * base[5:8]))
@@ -493,6 +494,14 @@ def test_near_vectors_of_several_lengths(spark):
     assert {k: r["n_links"] for k, r in got.items()} == near
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a), (7, [1.0, 0.01, 0.0]), (5, b), (9, b), (None, b), (11, b)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(0, 0, None, True), (5, 1, 5, True), (5, 2, 5, True), (7, 1, 5, False), (9, 2, 5, False), (11, 2, 5, False)]
+
+
 # licences
 
 def test_licences(spark, empty):
