@@ -6,14 +6,17 @@ the next ones. Units that occur often are the same lattice; each different one o
 filtered once, by vectors over all of them: edges are found by hashes of substrings, and
 forward sums advance through all units together. Backward, each occurrence draws its pieces
 by numbers made from the row's key and the place, so a row is segmented alike wherever and
-whenever it is processed. Characters without a piece become their UTF-8 bytes' pieces, and so
+whenever it is processed. A unit of more than ``LONG_UNIT`` bytes, as text without spaces has them, is filtered
+by itself, a block of nodes at a time, which takes time in proportion to it and keeps one number a node. Characters without a piece become their UTF-8 bytes' pieces, and so
 does the mark's own character, so decoding gives the text back byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ MODEL = "piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 20240501
 SLICE_BYTES = 1 << 20
+LONG_UNIT = 1024
+NODE_BLOCK = 1 << 14
 MARK = 0x2581
 RAW = 0x110000  # symbols from here on are bytes
 _FILTER_BITS = 22
@@ -175,7 +180,7 @@ class Lattice:
         drawn = []
         step = 0
         while len(live):
-            u = (mix(keys[live] + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64) * 2.0**-53
+            u = _uniform(keys[live], np.array([step]))
             edge = np.searchsorted(self.limit, node[live] + np.minimum(u, 1 - 1e-9), side="right")
             drawn.append((live, self.ids[edge]))
             node[live] = self.start[edge]
@@ -189,6 +194,67 @@ class Lattice:
         return out, count
 
 
+def _uniform(keys: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each key and step."""
+    return (mix(keys + steps.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) * 2.0**-53
+
+
+class LongUnit:
+    """The lattice of one long unit: the forward sum of each node; edges are found again where they are needed."""
+
+    def __init__(self, codes: np.ndarray, pieces: Pieces):
+        self.codes, self.pieces = codes, pieces
+        self.forward = array("d", [0.0])
+        for block in range(-(-len(codes) // NODE_BLOCK)):
+            starts, weights, _, heads = self._edges(block)
+            for a, b in zip(heads, heads[1:]):
+                if b - a == 1:
+                    self.forward.append(self.forward[starts[a]] + weights[a])
+                    continue
+                values = [self.forward[starts[k]] + weights[k] for k in range(a, b)]
+                top = max(values)
+                self.forward.append(top + math.log(sum([math.exp(v - top) for v in values])))
+
+    def _edges(self, block: int) -> tuple[list, list, list, list]:
+        """``starts, weights, ids`` of the edges into the nodes of a block, by node, and the nodes' bounds among them."""
+        low, high = block * NODE_BLOCK, min((block + 1) * NODE_BLOCK, len(self.codes))
+        base = max(0, low - self.pieces.longest)
+        codes = self.codes[base:high]
+        raw = np.flatnonzero(codes[low - base :] >= RAW) + low - base
+        start, stop, ids, weight = [raw], [raw + 1], [self.pieces.raw_id[codes[raw] - RAW]], [np.full(len(raw), self.pieces.raw_weight)]
+        sums, inverse = _sums(codes)
+        for length in range(1, self.pieces.longest + 1):
+            at = np.arange(max(0, low - base - length + 1), max(0, high - base - length + 1))
+            k, found = self.pieces.find(mix((sums[at + length] - sums[at]) * inverse[at] + U64(length)))
+            start.append(at[k])
+            stop.append(at[k] + length)
+            ids.append(self.pieces.ids[found])
+            weight.append(self.pieces.weights[found])
+        start, stop, ids, weight = (np.concatenate(x) for x in (start, stop, ids, weight))
+        by = np.argsort(stop, kind="stable")
+        heads = np.searchsorted(stop[by], np.arange(low - base + 1, high - base + 2))
+        return (start[by] + base).tolist(), weight[by].tolist(), ids[by].tolist(), heads.tolist()
+
+    def draw(self, key: np.uint64) -> np.ndarray:
+        """The piece ids of one occurrence."""
+        node, out, block, drawn = len(self.codes), array("q"), -1, []
+        while node:
+            if (node - 1) // NODE_BLOCK != block:
+                block = (node - 1) // NODE_BLOCK
+                starts, weights, ids, heads = self._edges(block)
+            if not len(out) % NODE_BLOCK:
+                drawn = _uniform(key, np.arange(len(out), len(out) + NODE_BLOCK)).tolist()
+            at = node - 1 - block * NODE_BLOCK
+            left, total, edge = drawn[len(out) % NODE_BLOCK], self.forward[node], heads[at]
+            for edge in range(heads[at], heads[at + 1]):
+                left -= math.exp(self.forward[starts[edge]] + weights[edge] - total)
+                if left < 0:
+                    break
+            out.append(ids[edge])
+            node = starts[edge]
+        return np.frombuffer(out, np.int64)[::-1]
+
+
 def encode_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, pieces: Pieces, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all rows end to end, and the rows' bounds among them. Empty rows have none."""
     lengths = np.diff(bounds)
@@ -206,13 +272,33 @@ def encode_batch(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, pieces:
     ends = np.append(starts[1:], len(text))
     _, one, unit = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
     size = ends[one] - starts[one]
-    body = text[ragged(starts[one], size)].tobytes()
-    codes, unit_bounds = _symbols(body, np.concatenate(([0], np.cumsum(size))), pieces)
-    lattice = Lattice(codes, unit_bounds, pieces)
     row = np.searchsorted(new_bounds, starts, side="right") - 1
     place = (starts - new_bounds[row]).astype(U64)
-    ids, count = lattice.draw(unit, mix(mix(keys[row].astype(np.int64).view(U64) ^ U64(seed)) + place * U64(0xD6E8FEB86659FD93)))
+    keys = mix(mix(keys[row].astype(np.int64).view(U64) ^ U64(seed)) + place * U64(0xD6E8FEB86659FD93))
+
+    is_long = size > LONG_UNIT
+    short = np.flatnonzero(~is_long)
+    number = np.zeros(len(size), np.int64)
+    number[short] = np.arange(len(short))
+    parts = []
+    if len(short):
+        body = text[ragged(starts[one[short]], size[short])].tobytes()
+        codes, unit_bounds = _symbols(body, np.concatenate(([0], np.cumsum(size[short]))), pieces)
+        own = np.flatnonzero(~is_long[unit])
+        parts.append((own, *Lattice(codes, unit_bounds, pieces).draw(number[unit[own]], keys[own])))
+    for k in np.flatnonzero(is_long):
+        at = starts[one[k]]
+        held = LongUnit(_symbols(text[at : at + size[k]].tobytes(), np.array([0, size[k]]), pieces)[0], pieces)
+        for own in np.flatnonzero(unit == k):
+            drawn = held.draw(keys[own])
+            parts.append((np.array([own]), drawn, np.array([len(drawn)])))
+    count = np.zeros(len(unit), np.int64)
+    for own, _, n in parts:
+        count[own] = n
     by_row = np.concatenate(([0], np.cumsum(count)))
+    ids = np.zeros(int(by_row[-1]), np.int64)
+    for own, drawn, n in parts:
+        ids[ragged(by_row[own], n)] = drawn
     return ids, by_row[np.searchsorted(starts, new_bounds)]
 
 

@@ -343,6 +343,40 @@ def test_sampling_follows_the_weights():
         assert abs(seen[way] / n - p / total) < 0.015
 
 
+def test_long_units_are_sampled_alike_and_in_linear_time(monkeypatch):
+    import time
+
+    pieces = sampling.pieces_of(sampling.MODEL, 1.0)
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("theandé☃"), 3000)) + "the cat" + "中文" * 200
+    arg = flat_bytes(pa.array([text, "ab " + text, "", "short text"])), np.array([5, 6, 7, 8]), pieces
+    ids, edges = sampling.encode_batch(*arg[0], *arg[1:])
+    made = pieces.decode(ids)
+    assert pieces.decode(ids[edges[0] : edges[1]]).tobytes() == (" " + text).encode()
+    assert len(made) == sum(len(t.encode()) + 1 for t in (text, "ab " + text, "short text"))
+    # a unit alone has the same lattice by either way: forward sums agree, and blocks make no difference
+    codes = sampling._symbols((" " + text).encode(), np.array([0, len(text.encode()) + 1]), pieces)[0]
+    held = sampling.LongUnit(codes, pieces)
+    monkeypatch.setattr(sampling, "NODE_BLOCK", 37)
+    small = sampling.LongUnit(codes, pieces)
+    assert np.array_equal(held.forward, small.forward)
+    assert np.array_equal(small.draw(np.uint64(3)), sampling.LongUnit(codes, pieces).draw(np.uint64(3)))
+    monkeypatch.setattr(sampling, "NODE_BLOCK", 1 << 14)
+    # draws follow the weights, as those of short units do
+    monkeypatch.setattr(sampling, "LONG_UNIT", 2)
+    n = 4000
+    long_ids, long_edges = sampling.encode_batch(*flat_bytes(pa.array(["the cat"] * n)), np.arange(n), pieces)
+    monkeypatch.setattr(sampling, "LONG_UNIT", 1024)
+    ids, edges = sampling.encode_batch(*flat_bytes(pa.array(["the cat"] * n)), np.arange(n), pieces)
+    assert np.mean([np.array_equal(long_ids[a:b], ids[c:d]) for a, b, c, d in zip(long_edges[:-1], long_edges[1:], edges[:-1], edges[1:])]) > 0.3
+    seen, other = (Counter(tuple(x[a:b].tolist()) for a, b in zip(e[:-1], e[1:])) for x, e in ((long_ids, long_edges), (ids, edges)))
+    assert all(abs(seen[k] - other[k]) < 0.04 * n for k in set(seen) | set(other))
+    start = time.perf_counter()
+    long = "".join(rng.choice(list("abcdefghijklmnop"), 300_000))
+    ids, _ = sampling.encode_batch(*flat_bytes(pa.array([long])), np.array([1]), pieces)
+    assert pieces.decode(ids)[1:].tobytes() == long.encode() and time.perf_counter() - start < 20
+
+
 def test_odd_characters_are_lossless():
     pieces = sampling.pieces_of(sampling.MODEL, 1.0)
     texts = ["▁", " ▁ x", "\x00\x01", "🎉日本", "  a  ", " ", "é" * 50]
@@ -433,6 +467,31 @@ def test_quality(spark, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def test_quality_against_a_naive_convolution():
+    model = quality.Model()
+    model.bias[:] = 0.3
+    texts = [words(1, 200), "", "ab", "x" * 127, "y" * 128, "é" * 700, words(2, 90)]
+    tables = model.tables()
+    score = lambda own: model.score(*flat_bytes(pa.array(own)), tables)
+    got = score(texts)
+    step = quality.GROUP * (quality.CHUNK_GROUPS - 1)
+    for text, s in zip(texts, got):
+        raw = [b + 1 for b in text.encode()]
+        n_groups = (len(raw) + quality.BLOCK) // quality.GROUP_BYTES + 1
+        raw += [0] * (n_groups * quality.GROUP_BYTES - len(raw))
+        n_blocks = n_groups * quality.GROUP
+        values = np.zeros((n_blocks, quality.FILTERS))
+        for k in range(n_blocks - 1):
+            x = np.concatenate([model.embed[b] for b in raw[4 * k : 4 * k + 8]]).astype(float)
+            values[k] = np.maximum(x @ model.filters.astype(float) + model.offset, 0)
+        chunks = [values[a : a + quality.GROUP * quality.CHUNK_GROUPS].max(axis=0) for a in range(0, max(1, n_blocks - quality.GROUP), step)]
+        z = np.concatenate((np.mean(chunks, axis=0), np.max(chunks, axis=0))) @ model.unit + model.bias[0]
+        assert abs(1 / (1 + np.exp(-z)) - s) < 1e-6
+    # the same bits alone, in any company and order
+    assert all(score([t])[0] == s for t, s in zip(texts, got))
+    assert score(texts[::-1] + texts).tolist() == got[::-1].tolist() + got.tolist()
+
+
 def test_quality_gradients():
     model = quality.Model()
     for name in ("embed", "filters", "offset", "unit", "bias"):
