@@ -40,7 +40,7 @@ SKETCH = 32
 #: The chance to miss a pair at the threshold is below this.
 MISS = 1e-6
 #: Lists are cut to blocks of about so many classes, and so many shingles.
-LIST_BLOCK = 4096
+LIST_BLOCK = 1024
 LIST_SHINGLES = 4_000_000
 #: A list with more classes (or shingles of them) outside its largest component is refined.
 REFINE = 2048
