@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,13 +16,20 @@ from .sources.tables import Tables
 from .temporal import History
 
 
+class NoHistory(ValueError, LookupError):
+    """A point in time was asked of an entity that keeps no versions."""
+
+
 class Context:
     """Resolves names to queries. Filters are applied where a table is scanned, so joins, subqueries and includes have them too."""
 
-    def __init__(self, spark: SparkSession, tables: Tables | str | None = None, tenant: object = None, tenant_column: str | None = None, strict: bool = False):
+    def __init__(self, spark: SparkSession, tables: Tables | str | None = None, tenant: object = None, tenant_column: str | None = None, strict: bool = False, client_evaluation: str = "throw"):
         self.spark = spark
         self.tables = tables if isinstance(tables, Tables) else Tables(spark, tables)
         self.tenant, self.tenant_column, self.strict = tenant, tenant_column, strict
+        if client_evaluation not in ("throw", "warn", "allow"):
+            raise ValueError("client_evaluation is throw, warn or allow")
+        self.client_evaluation = client_evaluation
         self.entities: dict[str, Entity] = {}
         self.filters: dict[str, list[Callable[[DataFrame], Column]]] = {}
         self.histories: dict[str, History] = {}
@@ -49,7 +57,9 @@ class Context:
     def scan(self, name: str, ignore_filters: bool = False, as_of: datetime | str | None = None) -> DataFrame:
         """A table with all that holds for it. The tenant's filter and a discriminator stay even if filters are ignored."""
         entity = self.entities.get(name) or Entity(name, name)
-        if as_of is not None and name in self.histories:
+        if as_of is not None:
+            if name not in self.histories:
+                raise NoHistory(f"{name} has no history to read at {as_of}")
             df = self.histories[name].as_of(self.tags[as_of] if isinstance(as_of, str) else as_of)
         else:
             df = self.tables.read(entity.table)
@@ -70,7 +80,7 @@ class Context:
 
     def query(self, name: str, ignore_filters: bool = False, as_of: datetime | str | None = None) -> Query:
         entity = self.entities.get(name)
-        return Query(self.scan(name, ignore_filters, as_of), context=self, entity=name, key=entity.key if entity else (), ignore_filters=ignore_filters, moment=as_of)
+        return Query(self.scan(name, ignore_filters, as_of), context=self, entity=name, key=entity.key if entity else (), ignore_filters=ignore_filters, moment=self.tags[as_of] if isinstance(as_of, str) else as_of, tables=frozenset({name, entity.table if entity else name}))
 
     set = query
 
@@ -89,7 +99,8 @@ class Context:
             df = df.filter(F.col(column) == F.lit(self.tenant)) if self.tenant is not None else df.limit(0)
         for predicate in self.filters.get(entity, ()):
             df = df.filter(predicate(df))
-        return Query(df, context=self, entity=entity, key=self.entities[entity].key if entity in self.entities else ())
+        # any table may be behind raw SQL, so any change ends what was cached of it
+        return Query(df, context=self, entity=entity, key=self.entities[entity].key if entity in self.entities else (), tables=frozenset({"*", entity or "*"}))
 
     def sql(self, sql: str, **named) -> DataFrame:
         """A SELECT as it is, without filters."""
@@ -97,8 +108,12 @@ class Context:
             raise PermissionError("raw SQL is off in strict contexts")
         return self.spark.sql(sql, args=named or None)
 
+    def found(self, name: str, *key) -> DataFrame:
+        """The row of a key, if it is there."""
+        return self.query(name).where(*[F.col(k) == F.lit(v) for k, v in zip(self.entities[name].key, key, strict=True)]).first_rows()
+
     def find(self, name: str, *key):
-        return self.query(name).where(*[F.col(k) == F.lit(v) for k, v in zip(self.entities[name].key, key, strict=True)]).first_or_default()
+        return self.found(name, *key).first()
 
     # results kept for a while
 
@@ -117,11 +132,26 @@ class Context:
     def changed(self, table: str) -> None:
         """Forget what was cached of ``table``."""
         for k, (_, held, tables) in list(self._cached.items()):
-            if table in tables:
+            if table in tables or "*" in tables:
                 held.unpersist()
                 del self._cached[k]
 
 
-def compile_query(build: Callable[..., Query]) -> Callable[..., Query]:
-    """A query with parameters: ``build(context, *args)``."""
-    return build
+def compile_query(build: Callable[..., Query], size: int = 128) -> Callable[..., Query]:
+    """A query with parameters: ``build(context, *args)``.
+
+    The analysed query is kept for each context and arguments (the last ``size`` of them), so a
+    repeated call does no more than run it. Changed tables, filters or tenants need a new context.
+    """
+    held: OrderedDict = OrderedDict()
+
+    def run(context, *args):
+        key = (id(context), args)
+        if key not in held:
+            held[key] = context, build(context, *args)  # with the context, so its id stays its own
+            while len(held) > size:
+                held.popitem(last=False)
+        held.move_to_end(key)
+        return held[key][1]
+
+    return run

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MICROS_OF_DAY = 86_400_000_000
 #: Ticks of 100 ns from year 1 to 1970.
@@ -169,9 +170,36 @@ def time_second(t: Column) -> Column:
 # instants with an offset: struct(instant, offset_minutes)
 
 def with_offset(instant: Column, minutes) -> Column:
+    """An instant and the offset it is told in. As a key it is compared by its instant: see ``same_instant`` and ``by_instant``."""
     return F.struct(instant.alias("instant"), (minutes if isinstance(minutes, Column) else F.lit(minutes)).cast("int").alias("offset_minutes"))
 
 
+def same_instant(a: Column, b: Column) -> Column:
+    return a["instant"] == b["instant"]
+
+
+def by_instant(df: DataFrame, key) -> Column | str:
+    """What to group rows by: of an instant with an offset (the name of a column of ``df``), the instant told without offset."""
+    if isinstance(key, str) and key in df.columns and isinstance(kind := df.schema[key].dataType, T.StructType) and kind.names == ["instant", "offset_minutes"]:
+        c = F.col(f"`{key}`")
+        return F.when(c.isNotNull(), with_offset(c["instant"], 0)).alias(key)
+    return key
+
+
+def utc_part(z: Column) -> Column:
+    return z["instant"]
+
+
+def offset_span(z: Column) -> Column:
+    """The offset as a span of time."""
+    return z["offset_minutes"].cast("long") * 60_000_000
+
+
+def nanosecond(t: Column) -> Column:
+    """Nanoseconds beyond the microsecond: timestamps have none."""
+    return F.when(t.isNotNull(), F.lit(0))
+
+
 def local_part(z: Column) -> Column:
     return add_minutes(z["instant"], z["offset_minutes"])
 
@@ -216,3 +244,9 @@ def parse_time(s: Column) -> Column:
 def utc_now() -> Column:
     """Fixed for the whole query."""
     return F.current_timestamp()
+
+
+def time_from_span(s: Column) -> Column:
+    """A span of at least nothing and less than a day as a time of day; raises on others."""
+    wrong = F.raise_error(F.concat(F.lit("not a time of day: "), s.cast("string"))).cast("long")
+    return F.when(s.isNull(), F.lit(None)).when((s >= 0) & (s < MICROS_OF_DAY), s).otherwise(wrong)

@@ -37,6 +37,12 @@ def distinct_total(x: Column) -> Column:
     return F.coalesce(F.sum_distinct(x), F.lit(0))
 
 
+def only(x: Column) -> Column:
+    """The value of the group's one row; raises where the group has several."""
+    several = F.count(F.lit(1)) > 1
+    return F.when(several, F.raise_error(F.lit("more than one row in a group"))).otherwise(F.first(x))
+
+
 def any_of(pred: Column) -> Column:
     return F.coalesce(F.bool_or(is_true(pred)), F.lit(False))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import by_instant
 from .ordering import Key, sorts
 
 
@@ -16,7 +17,7 @@ def same_columns(left: DataFrame, right: DataFrame) -> DataFrame:
 def distinct_by(df: DataFrame, order: tuple[Key, ...], keys: list[str]) -> DataFrame:
     """The first row of each key in order. Ties beyond the order are broken by the other columns."""
     rest = [F.col(c) for c in df.columns]
-    w = Window.partitionBy(*keys).orderBy(*sorts(order), *rest)
+    w = Window.partitionBy(*[by_instant(df, k) for k in keys]).orderBy(*sorts(order), *rest)
     return df.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 

@@ -122,7 +122,7 @@ def as_of(ctx):
 @query(_HISTORY + f"SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'N') AS fresh FROM h JOIN lineitem ON l_orderkey = o_orderkey WHERE f <= {_AT_SQL} AND {_AT_SQL} < t AND op <> 'D' GROUP BY 1")
 def as_of_join(ctx):
     ctx.add_history("orders", order_history(ctx))
-    joined = ctx.query("orders", as_of=_AT).join(ctx.query("lineitem", as_of=_AT), "o_orderkey", "l_orderkey")
+    joined = ctx.query("orders", as_of=_AT).join(ctx.query("lineitem"), "o_orderkey", "l_orderkey")
     return joined.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "N").alias("fresh"))
 
 

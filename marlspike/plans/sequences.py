@@ -11,17 +11,17 @@ from .registry import query
 
 @query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice NULLS FIRST, o_orderkey) AS INTEGER) AS rn FROM orders""")
 def row_number(ctx):
-    return ctx.query("orders").order_by("o_totalprice").with_row_number("rn").select("o_orderkey", "rn").df
+    return ctx.query("orders").order_by("o_totalprice").with_row_number("rn").select("o_orderkey", rn=F.col("rn").cast("int")).df
 
 
 @query("""SELECT event_id, CAST(rank() OVER (ORDER BY user_id NULLS FIRST) AS INTEGER) AS rk FROM events""")
 def rank(ctx):
-    return ctx.query("events").order_by("user_id").with_rank("rk").select("event_id", "rk").df
+    return ctx.query("events").order_by("user_id").with_rank("rk").select("event_id", rk=F.col("rk").cast("int")).df
 
 
 @query("""SELECT event_id, CAST(dense_rank() OVER (ORDER BY user_id DESC) AS INTEGER) AS rk FROM events""")
 def dense_rank(ctx):
-    return ctx.query("events").order_by("user_id", descending=True).with_dense_rank("rk").select("event_id", "rk").df
+    return ctx.query("events").order_by("user_id", descending=True).with_dense_rank("rk").select("event_id", rk=F.col("rk").cast("int")).df
 
 
 @query("""SELECT o_orderkey, lag(o_totalprice, 2, -1.0) OVER (ORDER BY o_orderkey) AS prev FROM orders""")
@@ -98,7 +98,7 @@ def skip_last(ctx):
 
 @query("""SELECT n_name, CAST(row_number() OVER (ORDER BY n_name DESC) AS INTEGER) AS rn FROM nation""")
 def reverse(ctx):
-    return ctx.query("nation").order_by("n_name").reverse().with_row_number("rn").select("n_name", "rn").df
+    return ctx.query("nation").order_by("n_name").reverse().with_row_number("rn").select("n_name", rn=F.col("rn").cast("int")).df
 
 
 @query("""SELECT true AS same, false AS shifted""")
@@ -172,7 +172,7 @@ def union_by(ctx):
     (SELECT n_name AS n, 0 AS side FROM nation UNION ALL SELECT 'ZZZ', -1 UNION ALL SELECT 'AAA', 1)""")
 def append_prepend(ctx):
     q = ctx.query("nation").select(n=F.col("n_name")).order_by("n").append(n="AAA").prepend(n="ZZZ")
-    return q.with_row_number("rn").select("n", "rn").df
+    return q.with_row_number("rn").select("n", rn=F.col("rn").cast("int")).df
 
 
 @query("""SELECT n_name, r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation) JOIN (SELECT r_name, row_number() OVER (ORDER BY r_name) AS i FROM region) USING (i)""")
@@ -191,6 +191,6 @@ def default_if_empty(ctx):
     return ctx.query("orders").where(F.col("o_orderkey") < -1).select("o_orderkey", "o_orderstatus").default_if_empty(o_orderkey=-1, o_orderstatus="none").df
 
 
-@query("""SELECT vec_id, embedding[1] AS head, len(embedding) AS dims FROM embeddings WHERE label = 3""")
+@query("""SELECT vec_id, embedding[1] AS head, len(embedding) AS dims FROM embeddings""")
 def array_column(ctx):
-    return ctx.query("embeddings").where(F.col("label") == 3).select("vec_id", head=F.get("embedding", F.lit(0)), dims=F.size("embedding")).df
+    return ctx.query("embeddings").select("vec_id", head=F.get("embedding", F.lit(0)), dims=F.size("embedding")).df

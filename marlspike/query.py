@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import streaming
 from .expr import is_true, not_
+from .functions.dates import by_instant
 from .operators import grouping, include, joins, sequence, sets, windows
 from .operators.ordering import Key, reverse, sorts
 
@@ -26,9 +29,14 @@ def _keys(columns, descending: bool) -> tuple[Key, ...]:
     return tuple(c if isinstance(c, Key) else Key(c, descending) for c in columns)
 
 
+EDGE = "__edge"
+
+
 @dataclass(frozen=True)
 class Query:
-    df: DataFrame
+    """``rows`` is ``df`` and, after ``append`` or ``prepend``, a column that orders the added rows."""
+
+    rows: DataFrame
     order: tuple[Key, ...] = ()
     context: object = None
     entity: str | None = None
@@ -36,9 +44,30 @@ class Query:
     ignore_filters: bool = False
     moment: object = None
     label: str | None = field(default=None, compare=False)
-
-    def _with(self, df: DataFrame, **more) -> Query:
-        return replace(self, df=df, **more)
+    tables: frozenset[str] = frozenset()
+    edges: int = 0
+    #: After ``skip``: what it gave, and the rows, order and number it had.
+    skipped: tuple | None = field(default=None, compare=False)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.rows.drop(EDGE) if EDGE in self.rows.columns else self.rows
+
+    def _with(self, df: DataFrame, *others: Query, **more) -> Query:
+        """``others`` are the queries whose rows ``df`` has too: they are of the same point in time, and their tables count."""
+        for other in others:
+            self._same_moment(other)
+        if EDGE not in df.columns:
+            more["order"] = tuple(k for k in more.get("order", self.order) if k.column != EDGE)
+        tables = self.tables.union(*(o.tables for o in others))
+        return replace(self, rows=df, tables=tables, skipped=None, **more)
+
+    def _same_moment(self, other: Query) -> None:
+        """A statement has one point in time; a side without history has only the present, and fits to any."""
+        mine, theirs = self.moment, other.moment
+        versioned = [q for q in (self, other) if q.context is not None and q.tables & q.context.histories.keys()]
+        if mine != theirs and (len(versioned) == 2 or (mine is not None and theirs is not None)):
+            raise ValueError(f"one statement at two points in time: {mine} and {theirs}")
 
     def named(self, entity: str) -> Query:
         return replace(self, entity=entity)
@@ -64,7 +93,7 @@ class Query:
     as_tracking = as_split_query = as_no_tracking
 
     def cacheable(self, seconds: float) -> Query:
-        return self._with(self.context.cached(self.df, seconds, frozenset({self.entity} if self.entity else ())))
+        return self._with(self.context.cached(self.rows, seconds, self.tables))
 
     def to_query_string(self) -> str:
         return ("-- " + self.label + "\n" if self.label else "") + self.df._jdf.queryExecution().optimizedPlan().toString()
@@ -72,14 +101,15 @@ class Query:
     # projection and filter
 
     def where(self, *predicates: Column) -> Query:
-        df = self.df
+        df = self.rows
         for p in predicates:
             df = df.filter(p)
         return self._with(df)
 
     def select(self, *columns, **computed: Column) -> Query:
         """Projected columns; order keys that are no longer there end the order."""
-        df = self.df.select(*columns, *[c.alias(n) for n, c in computed.items()])
+        edge = [EDGE] if EDGE in self.rows.columns and "*" not in columns else []
+        df = self.rows.select(*columns, *[c.alias(n) for n, c in computed.items()], *edge)
         kept = []
         for k in self.order:
             if k.column not in df.columns:
@@ -115,34 +145,48 @@ class Query:
     # windows of the sequence
 
     def take(self, n: int) -> Query:
-        return self._with(sequence.take(self.df, self.total_order(), n))
+        if self.skipped and self.skipped[0] is self.rows and self.skipped[2] == self.total_order():
+            _, rows, order, skip = self.skipped
+            return self._with(sequence.page(rows, order, skip, n))
+        return self._with(sequence.take(self.rows, self.total_order(), n))
 
     def skip(self, n: int) -> Query:
-        return self._with(sequence.skip(self.df, self.total_order(), n))
+        order = self.total_order()
+        out = self._with(sequence.skip(self.rows, order, n, self._unique()))
+        return replace(out, skipped=(out.rows, self.rows, order, n))
+
+    def _unique(self) -> bool:
+        return bool(self.key) and set(self.key) <= set(self.rows.columns) and EDGE not in self.rows.columns
 
     def take_last(self, n: int) -> Query:
-        return self._with(sequence.take_last(self.df, self._need_order(), n))
+        return self._with(sequence.take_last(self.rows, self._need_order(), n))
 
     def skip_last(self, n: int) -> Query:
-        return self._with(sequence.skip_last(self.df, self._need_order(), n))
+        return self._with(sequence.skip_last(self.rows, self._need_order(), n, self._unique()))
 
     def take_while(self, pred: Column | Callable[[Column], Column]) -> Query:
         """A callable also gets the place of the row."""
         order = self._need_order()
-        return self._with(sequence.take_while(self.df, order, pred) if isinstance(pred, Column) else sequence.indexed_while(self.df, order, pred, False))
+        return self._with(sequence.take_while(self.rows, order, pred) if isinstance(pred, Column) else sequence.indexed_while(self.rows, order, pred, False))
 
     def skip_while(self, pred: Column | Callable[[Column], Column]) -> Query:
         order = self._need_order()
-        return self._with(sequence.skip_while(self.df, order, pred) if isinstance(pred, Column) else sequence.indexed_while(self.df, order, pred, True))
+        return self._with(sequence.skip_while(self.rows, order, pred) if isinstance(pred, Column) else sequence.indexed_while(self.rows, order, pred, True))
 
     def chunk(self, n: int) -> DataFrame:
-        return sequence.chunk(self.df, self._need_order(), n)
+        return sequence.chunk(self.rows, self._need_order(), n, self.df.columns)
 
     def zip(self, other: Query) -> DataFrame:
-        return sequence.zip_with(self.df, self._need_order(), other.df, other._need_order())
+        self._same_moment(other)
+        return sequence.zip_with(self.rows, self._need_order(), other.rows, other._need_order(), self.df.columns, other.df.columns)
 
     def sequence_equal(self, other: Query) -> bool:
-        return sequence.sequence_differences(self.df, self._need_order(), other.df, other._need_order()).isEmpty()
+        return self.differences(other).isEmpty()
+
+    def differences(self, other: Query) -> DataFrame:
+        """The places at which two sequences differ."""
+        self._same_moment(other)
+        return sequence.sequence_differences(self.rows, self._need_order(), other.rows, other._need_order(), self.df.columns, other.df.columns)
 
     def append(self, **values) -> Query:
         return self._edge(values, 1)
@@ -152,12 +196,11 @@ class Query:
 
     def _edge(self, values: dict, side: int) -> Query:
         """The added row comes last or first whatever its values: a side column leads the order."""
-        types = dict(self.df.dtypes)
-        row = self.df.sparkSession.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in types.items() if c != "__edge"])
-        df = self.df if "__edge" in types else self.df.withColumn("__edge", F.lit(0))
-        end = F.lit(side * (1 + sum(k.column == "__edge" for k in self.order)))
-        order = self.order if self.order[:1] == (Key("__edge"),) else (Key("__edge"), *self.total_order())
-        return self._with(df.unionByName(row.withColumn("__edge", end)), order=order)
+        row = self.df.sparkSession.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in self.df.dtypes])
+        df = self.rows if EDGE in self.rows.columns else self.rows.withColumn(EDGE, F.lit(0))
+        end = side * (1 + sum(k.column == EDGE for k in self.order) + self.edges)
+        order = self.order if self.order[:1] == (Key(EDGE),) else (Key(EDGE), *self.total_order())
+        return self._with(df.unionByName(row.withColumn(EDGE, F.lit(end))), order=order, edges=self.edges + 1)
 
     # sets
 
@@ -165,28 +208,29 @@ class Query:
         return self._with(self.df.distinct())
 
     def union(self, other: Query) -> Query:
-        return self._with(self.df.union(sets.same_columns(self.df, other.df)).distinct(), key=())
+        return self._with(self.df.union(sets.same_columns(self.df, other.df)).distinct(), other, key=())
 
     def concat(self, other: Query) -> Query:
-        return self._with(self.df.union(sets.same_columns(self.df, other.df)), key=())
+        return self._with(self.df.union(sets.same_columns(self.df, other.df)), other, key=())
 
     def intersect(self, other: Query) -> Query:
-        return self._with(self.df.intersect(sets.same_columns(self.df, other.df)))
+        return self._with(self.df.intersect(sets.same_columns(self.df, other.df)), other)
 
     def except_(self, other: Query) -> Query:
-        return self._with(self.df.subtract(sets.same_columns(self.df, other.df)))
+        return self._with(self.df.subtract(sets.same_columns(self.df, other.df)), other)
 
     def distinct_by(self, *keys: str) -> Query:
-        return self._with(sets.distinct_by(self.df, self.total_order(), list(keys)))
+        return self._with(sets.distinct_by(self.rows, self.total_order(), list(keys)))
 
     def except_by(self, other: Query, *keys: str) -> Query:
-        return self._with(sets.except_by(self.df, self.total_order(), list(keys), other.df))
+        return self._with(sets.except_by(self.rows, self.total_order(), list(keys), other.df), other)
 
     def intersect_by(self, other: Query, *keys: str) -> Query:
-        return self._with(sets.intersect_by(self.df, self.total_order(), list(keys), other.df))
+        return self._with(sets.intersect_by(self.rows, self.total_order(), list(keys), other.df), other)
 
     def union_by(self, other: Query, *keys: str) -> Query:
-        return self._with(sets.union_by(self.df, self.total_order(), other.df, list(keys)), key=())
+        order = tuple(k for k in self.total_order() if k.column != EDGE)
+        return self._with(sets.union_by(self.df, order, other.df, list(keys)), other, key=())
 
     def default_if_empty(self, **default) -> Query:
         return self._with(sets.default_if_empty(self.df, **default))
@@ -194,30 +238,33 @@ class Query:
     # joins
 
     def join(self, other: Query, left_keys, right_keys, how: str = "inner") -> DataFrame:
+        self._same_moment(other)
         return joins.join(self.df, other.df, _list(left_keys), _list(right_keys), how)
 
     def left_join(self, other: Query, left_keys, right_keys) -> DataFrame:
         return self.join(other, left_keys, right_keys, "left")
 
     def cross(self, other: Query) -> DataFrame:
+        self._same_moment(other)
         return self.df.alias("l").crossJoin(other.df.alias("r"))
 
     def select_many(self, other: Query, condition: Column, default_if_empty: bool = False) -> DataFrame:
         """Pairs that satisfy any condition over the aliases ``l`` and ``r``."""
+        self._same_moment(other)
         return joins.theta_join(self.df, other.df, condition, "left" if default_if_empty else "inner")
 
     def where_any(self, other: Query, left_keys, right_keys) -> Query:
-        return self._with(joins.join(self.df, other.df, _list(left_keys), _list(right_keys), "left_semi"))
+        return self._with(joins.join(self.rows, other.df, _list(left_keys), _list(right_keys), "left_semi"), other)
 
     def where_none(self, other: Query, left_keys, right_keys) -> Query:
-        return self._with(joins.join(self.df, other.df, _list(left_keys), _list(right_keys), "left_anti"))
+        return self._with(joins.join(self.rows, other.df, _list(left_keys), _list(right_keys), "left_anti"), other)
 
     def where_all(self, other: Query, left_keys, right_keys, pred: Column) -> Query:
         """Rows all of whose matches satisfy ``pred``."""
         return self.where_none(other.where(not_(pred)), left_keys, right_keys)
 
     def group_join(self, other: Query, left_keys, right_keys, fields: list[str], name: str = "items") -> Query:
-        return self._with(joins.group_join(self.df, other.df, _list(left_keys), _list(right_keys), fields, name, [k.column for k in other.order] or None))
+        return self._with(joins.group_join(self.df, other.df, _list(left_keys), _list(right_keys), fields, name, [k.column for k in other.order] or None), other)
 
     def include(self, relation: str, fields: list[str] | None = None, where: Column | None = None, order: tuple[Key, ...] = (), take: int | None = None, skip: int = 0, then: Callable[[Query], Query] | None = None) -> Query:
         """A declared relation as a nested list; ``then`` shapes the children's query, including what they include."""
@@ -226,33 +273,57 @@ class Query:
         if then is not None:
             children = then(children)
         more = {"where": where, "order": order, "take": take, "skip": skip}
+        read = [children]
         if r.bridge:
             bridge, own, other = r.bridge
-            df = include.include_many(self.df, self.context.scan(bridge, self.ignore_filters, self.moment), children.df, list(r.parent_key), list(own), list(other), list(r.child_key), relation, fields or list(children.df.columns), **more)
+            read.append(self.context.query(bridge, self.ignore_filters, self.moment))
+            df = include.include_many(self.df, read[1].df, children.df, list(r.parent_key), list(own), list(other), list(r.child_key), relation, fields or list(children.df.columns), **more)
         else:
             df = include.include(self.df, children.df, list(r.parent_key), list(r.child_key), relation, fields, **more)
-        return self._with(df.withColumn(relation, F.get(relation, F.lit(0))) if r.single else df)
+        return self._with(df.withColumn(relation, F.get(relation, F.lit(0))) if r.single else df, *read)
+
+    def with_parent(self, relation: str, *fields: str, **renamed: str) -> Query:
+        """Columns of the one row that a declared relation refers to, null where there is none: to filter, order or group by."""
+        r = self.context.entities[self.entity].relations[relation]
+        parent = self.context.query(r.child, self.ignore_filters, self.moment)
+        wanted = [F.col(c).alias(c) for c in fields] + [F.col(c).alias(n) for n, c in renamed.items()]
+        side = parent.df.select(*[F.col(c).alias(f"__p{k}") for k, c in enumerate(r.child_key)], *wanted)
+        on = [self.df[a] == side[f"__p{k}"] for k, a in enumerate(r.parent_key)]
+        return self._with(self.df.join(side, on, "left").drop(*[f"__p{k}" for k in range(len(on))]), parent)
 
     # groups and aggregates
 
     def group_by(self, *keys, **aggregates: Column) -> Query:
-        """Keys and aggregates; null is a key like any other."""
+        """Keys and aggregates; null is a key like any other, and instants with an offset are keys by their instant."""
+        keys = [by_instant(self.df, k) for k in keys]
         return self._with(self.df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), order=(), key=())
 
     def groups(self, *keys: str, fields: list[str] | None = None) -> DataFrame:
         """Each key with the list of its rows, in order."""
         fields = fields or [c for c in self.df.columns if c not in keys]
-        out = joins.gathered(self.df, list(keys), fields, "items", [k.column for k in self.total_order()] or None)
+        out = joins.gathered(self.rows, list(keys), fields, "items", [k.column for k in self.total_order()] or None)
         return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "items")
 
+    def map_batches(self, body: Callable, schema: str) -> DataFrame:
+        """A projection that only Python can compute, over pandas batches in the rows' partitions; the context's policy decides on it.
+
+        ``Context(client_evaluation=...)``: ``throw`` (the default) refuses it, ``warn`` warns, ``allow`` is silent.
+        """
+        policy = self.context.client_evaluation if self.context is not None else "throw"
+        if policy == "throw":
+            raise PermissionError("this projection would leave the engine; see Context(client_evaluation=...)")
+        if policy == "warn":
+            warnings.warn("this projection is computed in Python", stacklevel=2)
+        return self.df.mapInPandas(lambda batches: (body(b) for b in batches), schema)
+
     def nth_of_group(self, keys: list[str], n: int = 1) -> Query:
-        return self._with(grouping.nth_of_group(self.df, keys, self._need_order(), n))
+        return self._with(grouping.nth_of_group(self.rows, keys, self._need_order(), n))
 
     def aggregate(self, **aggregates: Column) -> DataFrame:
         return self.df.agg(*[a.alias(n) for n, a in aggregates.items()])
 
     def with_children(self, other: Query, key, child_key, **aggregates: Column) -> Query:
-        return self._with(grouping.with_children(self.df, other.df, _list(key), _list(child_key), **aggregates))
+        return self._with(grouping.with_children(self.df, other.df, _list(key), _list(child_key), **aggregates), other)
 
     def count(self, where: Column | None = None) -> int:
         return self.aggregate(v=grouping.count(where)).first()["v"]
@@ -284,24 +355,25 @@ class Query:
     # numbering
 
     def with_row_number(self, name: str = "row_number") -> Query:
-        return self._with(windows.row_number(self.df, self._need_order(), name))
+        return self._with(windows.row_number(self.rows, self._need_order(), name))
 
     def with_rank(self, name: str = "rank") -> Query:
-        return self._with(windows.rank(self.df, self.order, name))
+        return self._with(windows.rank(self.rows, self.order, name))
 
     def with_dense_rank(self, name: str = "dense_rank") -> Query:
-        return self._with(windows.dense_rank(self.df, self.order, name))
+        return self._with(windows.dense_rank(self.rows, self.order, name))
 
     def with_lag(self, value: Column, n: int = 1, default: Column | None = None, name: str = "lag") -> Query:
-        return self._with(windows.lag(self.df, self._need_order(), value, n, default, name))
+        return self._with(windows.lag(self.rows, self._need_order(), value, n, default, name))
 
     def with_lead(self, value: Column, n: int = 1, default: Column | None = None, name: str = "lead") -> Query:
-        return self._with(windows.lead(self.df, self._need_order(), value, n, default, name))
+        return self._with(windows.lead(self.rows, self._need_order(), value, n, default, name))
 
     # one row
 
     def first_rows(self, pred: Column | None = None, n: int = 1) -> DataFrame:
-        return sequence.take(self.df if pred is None else self.df.filter(pred), self.total_order(), n)
+        out = sequence.take(self.rows if pred is None else self.rows.filter(pred), self.total_order(), n)
+        return out.drop(EDGE)
 
     def first_or_default(self, pred: Column | None = None) -> Row | None:
         return self.first_rows(pred).first()
@@ -333,23 +405,40 @@ class Query:
     def element_at(self, n: int) -> Row:
         return _some(self.element_at_or_default(n))
 
+    def least_by(self, *columns: str) -> DataFrame:
+        """The one row (or none) of least keys."""
+        return replace(self, order=_keys(columns, False) + self.order).first_rows()
+
+    def most_by(self, *columns: str) -> DataFrame:
+        return replace(self, order=_keys(columns, True) + self.order).first_rows()
+
     def min_by(self, *columns: str) -> Row:
-        return _some(replace(self, order=_keys(columns, False) + self.order).first_or_default())
+        return _some(self.least_by(*columns).first())
 
     def max_by(self, *columns: str) -> Row:
-        return _some(replace(self, order=_keys(columns, True) + self.order).first_or_default())
+        return _some(self.most_by(*columns).first())
 
     # results
 
     def frame(self) -> DataFrame:
         """The rows in their order."""
-        df = self.df.orderBy(*sorts(self.order)) if self.order else self.df
+        return (self.rows.orderBy(*sorts(self.order)) if self.order else self.rows).drop(EDGE)
+
+    @contextmanager
+    def _labelled(self):
+        """Jobs within carry the label as their description; what it was comes back after them."""
+        sc, name = self.rows.sparkSession.sparkContext, "spark.job.description"
+        before = sc.getLocalProperty(name)
         if self.label:
-            df.sparkSession.sparkContext.setJobDescription(self.label)
-        return df.drop("__edge")
+            sc.setJobDescription(self.label)
+        try:
+            yield
+        finally:
+            sc.setLocalProperty(name, before)
 
     def to_list(self) -> list[Row]:
-        return self.frame().collect()
+        with self._labelled():
+            return self.frame().collect()
 
     to_array = to_list
 
@@ -365,7 +454,8 @@ class Query:
         return set(self.df.distinct().collect())
 
     def __iter__(self) -> Iterator[Row]:
-        return streaming.rows(self.frame())
+        with self._labelled():
+            yield from streaming.rows(self.frame())
 
     def __aiter__(self):
         return streaming.async_rows(self.frame())

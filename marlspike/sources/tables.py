@@ -34,6 +34,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = "file://" + _LOCAL_ROOT.setdefault(app, tempfile.mkdtemp(prefix="marlspike-"))
     path = f"{root.rstrip('/')}/marlspike-{uuid.uuid4().hex}"

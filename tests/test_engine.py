@@ -314,3 +314,108 @@ def test_date_diff_all_reads_every_order(spark, tmp_path):
 def test_cross_join_all_has_every_pair(spark):
     got = {(r["r_name"], r["n_name"]) for r in QUERIES["cross_join_all"](spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 125
+
+
+def test_queries_read_whole_tables(spark):
+    assert QUERIES["cross_join"](spark, "/root/testdata/sf0.001").count() == 125
+
+
+def test_a_statement_has_one_point_in_time(spark, ctx):
+    past, later = datetime(2020, 1, 1), datetime(2021, 1, 1)
+    for name, key in (("t", "id"), ("u", "uid")):
+        ctx.add_history(name, History.backfill(ctx.scan(name), key, past))
+    ctx.add_history("t", History.backfill(ctx.scan("t"), "id", past))
+    a = ctx.query("t", as_of=past)
+    with pytest.raises(ValueError, match="one point in time"):
+        a.as_of(later)
+    assert a.join(ctx.query("u", as_of=past), "id", "uid").count() == 3
+    for other in (ctx.query("u", as_of=later), ctx.query("u")):
+        with pytest.raises(ValueError):
+            a.join(other, "id", "uid")
+        with pytest.raises(ValueError):
+            a.where_any(other, "id", "uid")
+    ctx.tables.add("plain", spark.range(3).toDF("uid"))
+    assert a.join(ctx.query("plain"), "id", "uid").count() == 2  # without history there is only the present
+    with pytest.raises(LookupError):
+        ctx.query("plain", as_of=past)
+
+
+def test_cached_results_end_with_any_of_their_tables(ctx):
+    q = ctx.query("t").where_any(ctx.query("u"), "id", "uid").cacheable(60)
+    assert ctx.query("t").where_any(ctx.query("u"), "id", "uid").cacheable(60).df is q.df
+    ctx.changed("u")
+    assert not q.df.storageLevel.useMemory
+
+
+def test_added_rows_leave_no_trace(ctx):
+    q = ctx.query("t").select("id").order_by("id").append(id=9)
+    assert q.df.columns == ["id"] and q.frame().columns == ["id"]
+    assert {tuple(r) for r in q.to_hash_set()} == {(1,), (2,), (3,), (4,), (9,)}
+    assert sorted(r["id"] for r in q.concat(q).to_list()) == [1, 1, 2, 2, 3, 3, 4, 4, 9, 9]
+    assert ids(q.take_last(2)) == [4, 9] or sorted(ids(q.take_last(2))) == [4, 9]
+    assert [x["id"] for r in sorted(q.chunk(9).collect()) for x in r["items"]] == [1, 2, 3, 4, 9]
+    assert q.where(F.col("id") > 3).distinct().df.columns == ["id"]
+    assert [r.asDict() for r in q.chunk(9).select(F.col("items")[0].alias("x")).select("x.*").collect()] == [{"id": 1}]
+
+
+def test_numbering_and_paging_keep_rows_apart(spark, ctx):
+    many = spark.range(0, 5000, 1, 7).select(F.col("id").alias("k"), (F.col("id") % 10).alias("v"))
+    ctx.tables.add("many", many)
+    ctx.entity("many", key="k")
+    q = ctx.query("many").order_by("v")
+    plans = [q.with_row_number().df, q.with_rank().df, q.with_dense_rank().df, q.with_lag(F.col("k"), 3).df, q.skip(20_000).df, q.skip_last(12_000).df, q.skip(7).df]
+    assert {r["k"]: r["rank"] for r in plans[1].collect() if r["k"] < 12} == {k: k % 10 * 500 + 1 for k in range(12)}
+    assert sorted({r["dense_rank"] for r in plans[2].collect()}) == list(range(1, 11))
+    assert plans[4].count() == 0 and plans[6].count() == 4993
+    assert [r["k"] for r in q.skip(498).take(4).to_list()] == [4980, 4990, 1, 11]
+    assert sorted(r["k"] for r in ctx.query("many").select("v", "k").order_by("v", "k").skip_last(4998).to_list()) == [0, 10]
+
+
+def test_source_keys_must_not_repeat(spark):
+    df = spark.createDataFrame([(1, 10), (2, 20)], "id int, v int")
+    twice = spark.createDataFrame([(1, 11), (1, 12), (None, 5), (None, 6)], "id int, v int")
+    for out in (write.bulk_update(df, twice, ["id"]), write.upsert(df, twice, ["id"])):
+        with pytest.raises(Exception, match="several rows for the key"):
+            out.collect()
+    once = twice.filter("v <> 12")
+    assert sorted(tuple(r) for r in write.bulk_update(df, once, ["id"]).collect()) == [(1, 11), (2, 20)]
+    assert sorted(r["v"] for r in write.upsert(df, once, ["id"]).collect()) == [5, 6, 11, 20]
+
+
+def test_only_row_of_a_group(ctx):
+    with pytest.raises(Exception, match="more than one row"):
+        ctx.query("t").group_by("v", x=g.only(F.col("id"))).to_list()
+    assert {r["id"]: r["x"] for r in ctx.query("t").group_by("id", x=g.only(F.col("v"))).to_list()} == {1: 10, 2: None, 3: 30, 4: 10}
+
+
+def test_client_projections_follow_the_policy(ctx):
+    q = ctx.query("t").select("id")
+    with pytest.raises(PermissionError):
+        q.map_batches(lambda b: b, "id long")
+    ctx.client_evaluation = "warn"
+    with pytest.warns(UserWarning):
+        assert q.map_batches(lambda b: b + 1, "id long").agg(F.sum("id")).first()[0] == 14
+
+
+def test_compiled_queries_are_analysed_once(ctx):
+    made = []
+    low = compile_query(lambda c, n: made.append(n) or c.query("t").where(F.col("id") <= n), size=2)
+    assert [low(ctx, n).count() for n in (2, 3, 2, 1, 3)] == [2, 3, 2, 1, 3]
+    assert made == [2, 3, 1, 3]
+
+
+def test_labels_do_not_stay(ctx, spark):
+    before = spark.sparkContext.getLocalProperty("spark.job.description")
+    ctx.query("t").tag_with("mine").to_list()
+    assert spark.sparkContext.getLocalProperty("spark.job.description") == before
+
+
+def test_instants_with_offsets_are_one_key(spark, ctx):
+    at = datetime(2020, 1, 1)
+    z = spark.createDataFrame([(1, at, 0), (2, at, 90), (3, datetime(2021, 1, 1), 0)], "id int, t timestamp, o int").select("id", dates.with_offset(F.col("t"), F.col("o")).alias("z"))
+    ctx.tables.add("z", z)
+    ctx.entity("z", key="id")
+    assert sorted(r["n"] for r in ctx.query("z").group_by("z", n=g.count()).to_list()) == [1, 2]
+    assert sorted(ids(ctx.query("z").order_by("id").distinct_by("z"))) == [1, 3]
+    with pytest.raises(Exception, match="not a time of day"):
+        spark.range(1).select(dates.time_from_span(F.lit(dates.MICROS_OF_DAY))).collect()

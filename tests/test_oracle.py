@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from marlspike.plans import aggregates, core, relations, scalars, sequences  # noqa: F401
+from marlspike.plans import aggregates, core, members, relations, scalars, sequences  # noqa: F401
 from marlspike.plans.registry import ORACLE_SQL, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
