@@ -85,13 +85,22 @@ def _needed(n: int, threshold: float) -> int:
     return max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9))
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern of the words that decides each character once; a space in a word is a run of spaces and line ends."""
+    after: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        after.setdefault(w[:1], []).append(w[1:])
+    rest = [("[ \n]+" if c == " " else c) + _trie(tails) for c, tails in after.items() if c]
+    if not rest:
+        return ""
+    group = rest[0] if len(rest) == 1 else "(?:" + "|".join(rest) + ")"
+    return group if "" not in after else "(?:" + group + ")?"
+
+
 def _any_of(grams: list[str]) -> str:
     """A pattern of texts that hold one of the bigrams, over line ends too."""
-    follow: dict[str, list[str]] = {}
-    for g in sorted(set(grams)):
-        first, second = g.split()
-        follow.setdefault(first, []).append(second)
-    return r"(?:^|[ \n])(?:" + "|".join(rf"{a}[ \n]+(?:{'|'.join(b)})" for a, b in follow.items()) + r")(?:[ \n]|$)"
+    heads = "".join(sorted({g[0] for g in grams}))
+    return rf"(?:^|[ \n])(?=[{heads}])" + f"(?:{_trie(grams)})" + r"(?:[ \n]|$)"
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -108,14 +117,12 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(_pairs(words))
 
 
-def _best_window(pairs: Column, line: Column, several: Column, name: str, grams: list[str], threshold: float) -> Column:
+def _best_window(pairs: Column, line: Column, several: Column, template: Column) -> Column:
     """``less, name`` of a template's best window in a unit, or null; ``line`` is each word's line, ``several`` whether there are more than one.
 
     In a unit of several lines, the window has to run over a line end: others belong to their line.
     """
-    n, need = len(grams), _needed(len(grams), threshold)
-    most = math.floor(n * (2 - threshold) / threshold + 1e-9)
-    known = F.array(*map(F.lit, grams))
+    n, need, most, known = (template[c] for c in ("n", "need", "most", "grams"))
 
     def scored(start: Column, end: Column) -> Column:
         held = F.slice(pairs, start + 1, end - start + 1)
@@ -125,12 +132,12 @@ def _best_window(pairs: Column, line: Column, several: Column, name: str, grams:
     def windows(at: Column) -> Column:
         # only where enough of the template's bigrams stand close together
         first = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda j: F.get(at, j + (need - 2)) - F.get(at, j - 1) < most)
-        ends = lambda j: F.filter(F.slice(at, j + (need - 1), F.lit(most - need + 1)), lambda e: e - F.get(at, j - 1) < most)
+        ends = lambda j: F.filter(F.slice(at, j + (need - 1), most - need + 1), lambda e: e - F.get(at, j - 1) < most)
         return F.flatten(F.transform(first, lambda j: F.transform(ends(j), lambda e: scored(F.get(at, j - 1), e))))
 
     at = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(known, g), i)), lambda i: i.isNotNull())
     best = _let(at, lambda at: F.when(F.size(at) >= need, F.array_min(windows(at))))
-    return _let(best, lambda b: F.when(b.isNotNull() & (~several | b["over"]), F.struct(b["less"].alias("less"), F.lit(name).alias("name"))))
+    return _let(best, lambda b: F.when(b.isNotNull() & (~several | b["over"]), F.struct(b["less"].alias("less"), template["name"].alias("name"))))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
@@ -148,7 +155,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = [(name, grams) for name, text in sorted((templates or TEMPLATES).items()) if (grams := template_bigrams(text))]
     if not known:
         raise ValueError("no template has two words")
-    entries = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for name, g in known])
+    words = lambda own: F.array(*map(F.lit, own))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"), F.lit(len(g)).alias("n"), words(g).alias("grams"), words(anchors(g, threshold)).alias("anchors"),
+                F.lit(_needed(len(g), threshold)).alias("need"), F.lit(math.floor(len(g) * (2 - threshold) / threshold + 1e-9)).alias("most"),
+            )
+            for name, g in known
+        ]
+    )
 
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), NOT_WORD, " ")
     lines = F.split(F.col("plain"), LINE_END)
@@ -165,20 +181,22 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # the units of texts with an anchor, as lists of lines
     rows = lambda u: F.filter(F.transform(F.split(u, LINE_END), lambda x: F.btrim(x)), lambda x: x != "")
-    pieces = F.filter(F.transform(F.concat(lines, paragraphs), rows), lambda p: F.size(p) > 0)
+    some_anchor = _any_of([a for _, g in known for a in anchors(g, threshold)])
+    # a unit without an anchor has none within either
+    units = F.filter(F.concat(lines, paragraphs), lambda u: u.rlike(some_anchor))
+    pieces = F.filter(F.transform(units, rows), lambda p: F.size(p) > 0)
 
     def best_in(piece: Column) -> Column:
         def of(u: Column) -> Column:
-            inner = [
-                F.when(u["text"].rlike(_any_of(anchors(g, threshold))), _best_window(u["pairs"], u["line"], u["several"], name, g, threshold)) for name, g in known
-            ]
-            return F.array_min(F.array(_let(F.array_distinct(u["pairs"]), best), *inner))
+            near = F.filter(F.col("templates"), lambda t: F.arrays_overlap(u["pairs"], t["anchors"]))
+            inner = F.transform(near, lambda t: _best_window(u["pairs"], u["line"], u["several"], t))
+            return F.array_min(F.concat(F.array(_let(F.array_distinct(u["pairs"]), best)), inner))
 
         line = F.flatten(F.transform(piece, lambda x, i: F.transform(F.split(x, " "), lambda _: i)))
         text = F.array_join(piece, " ")
         return _let(F.struct(text.alias("text"), _pairs(F.split(text, " ")).alias("pairs"), line.alias("line"), (F.size(piece) > 1).alias("several")), of)
 
-    anchored = F.col("plain").rlike(_any_of([a for _, g in known for a in anchors(g, threshold)]))
+    anchored = F.col("plain").rlike(some_anchor)
     found = F.coalesce(F.transform("pieces", best_in), F.array().cast("array<struct<less:double,name:string>>"))
     return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("plain"))
