@@ -19,7 +19,7 @@ def op1_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ best-fit decreasing over counts of equal lengths and compare the number of seque
 with lower bounds from dual-feasible functions. A partition that meets its bound is
 certified and done. The others keep their fullest sequences and give the pieces of
 those with gaps into an exchange, which deals them to fewer partitions and packs them
-again; the last of ``ROUNDS`` packings, or the first in one partition, keeps all.
+again, as long as that brings the number of sequences nearer to the bounds.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ TOKENIZER = "byte_bpe_50k"
 SLICE_BYTES = 2 << 20
 #: Pieces that one task packs; their ids and lengths are all it holds.
 PARTITION_PIECES = 20_000
-#: Packings in all, exchanges between them included.
-ROUNDS = 3
+#: Packings in all; exchanges end before it where they gain nothing.
+ROUNDS = 12
 #: Of an uncertified partition, sequences filled to this share of the capacity stay packed.
 KEEP_FILL = 0.995
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -159,8 +159,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n_bins
 
 
-def _packing(capacity: int, keep_fill: float, last: bool):
-    """Pack one partition: placed pieces, and with null ``sequence_id`` those given to the exchange."""
+PACKED = "row long, piece int, length long, sequence_id long, offset long, given boolean, part long, part_sequences long, part_bound long"
+
+
+def _packing(capacity: int, keep_fill: float):
+    """Pack one partition, and mark the pieces that it would give to an exchange; with its number of sequences and their bound."""
 
     def run(key, table):
         import pyarrow as pa
@@ -169,18 +172,23 @@ def _packing(capacity: int, keep_fill: float, last: bool):
         by = np.lexsort((piece, row))
         row, piece, length = row[by], piece[by], length[by]
         bins, offsets, n_bins = best_fit_decreasing(length, capacity)
-        base = key[0].as_py() << 32
+        part, bound = key[0].as_py(), lower_bound(length, capacity)
         given = np.zeros(len(row), bool)
-        if not last and n_bins > lower_bound(length, capacity):
+        if n_bins > bound:
             fill = np.bincount(bins, weights=length, minlength=n_bins)
             given = fill[bins] < keep_fill * capacity
+        same = lambda x: pa.array(np.full(len(row), x, np.int64))
         return pa.table(
             {
                 "row": pa.array(row, pa.int64()),
                 "piece": pa.array(piece, pa.int32()),
                 "length": pa.array(length, pa.int64()),
-                "sequence_id": pa.array(bins + base, pa.int64(), mask=given),
+                "sequence_id": pa.array(bins + (part << 32), pa.int64()),
                 "offset": pa.array(offsets, pa.int64()),
+                "given": pa.array(given),
+                "part": same(part),
+                "part_sequences": same(n_bins),
+                "part_bound": same(bound),
             }
         )
 
@@ -188,20 +196,29 @@ def _packing(capacity: int, keep_fill: float, last: bool):
 
 
 def pack(open_: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, keep_fill: float = KEEP_FILL, rounds: int = ROUNDS) -> DataFrame:
-    """``row, piece, sequence_id, offset`` for each ``row, piece, length`` of ``open_``, all shorter than ``capacity``."""
+    """``row, piece, sequence_id, offset, part_sequences, part_bound`` for each ``row, piece, length`` of ``open_``, all shorter than ``capacity``.
+
+    The last two tell of the partition that placed a piece how many sequences it made and how
+    many no packing of its pieces can do without; it is certified where they are equal.
+    """
     open_ = open_.select("row", "piece", "length")
-    done = None
+    result = ["row", "piece", "sequence_id", "offset", "part_sequences", "part_bound"]
+    done, missing = None, None
     for level in range(rounds):
         parts = max(1, -(-open_.count() // partition_pieces))
-        last = parts == 1 or level == rounds - 1
         number = F.pmod(F.xxhash64("row", "piece", F.lit(level)), F.lit(parts)) + (level << 24)
-        packed = open_.withColumn("part", number).groupBy("part").applyInArrow(_packing(capacity, keep_fill, last), "row long, piece int, length long, sequence_id long, offset long")
+        packed = open_.withColumn("part", number).groupBy("part").applyInArrow(_packing(capacity, keep_fill), PACKED)
         packed = written(packed, "packed")
-        placed = packed.filter("sequence_id is not null").select("row", "piece", "sequence_id", "offset")
+        # sequences above the bounds, a number for each partition
+        tally = packed.groupBy("part").agg(F.first("part_sequences").alias("n"), F.first("part_bound").alias("least"))
+        gap = tally.agg(F.coalesce(F.sum(F.col("n") - F.col("least")), F.lit(0))).first()[0]
+        last = gap == 0 or parts == 1 or level == rounds - 1 or (missing is not None and gap >= missing)
+        placed = (packed if last else packed.filter("not given")).select(result)
         done = placed if done is None else done.union(placed)
         if last:
             break
-        open_ = packed.filter("sequence_id is null").select("row", "piece", "length")
+        missing = gap
+        open_ = packed.filter("given").select("row", "piece", "length")
     return done
 
 
@@ -214,12 +231,13 @@ def pack_documents(
     tokenizer: str = TOKENIZER,
     partition_pieces: int = PARTITION_PIECES,
 ) -> DataFrame:
-    """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_sequences, part_bound``.
 
     A document is its token ids and ``end_id``; null and empty texts are ``end_id`` alone.
     Documents longer than ``capacity`` are cut into pieces of ``capacity`` ids after a first
     shorter one; others stay whole. Pieces of a sequence follow each other without gaps
-    from 0. Null and repeated ids are kept as they are; each row of ``docs`` is a document.
+    from 0. ``part_sequences`` and ``part_bound`` are those of ``pack``; a piece as long as a
+    sequence is a partition of its own. Null and repeated ids are kept as they are; each row of ``docs`` is a document.
     Other columns are not read. An empty table gives an empty result.
     """
     cut = written(pieces(docs, id_col, text_col, capacity, end_id, tokenizer), "pieces")
@@ -230,6 +248,6 @@ def pack_documents(
     return (
         cut.filter(~whole)
         .join(placed, ["row", "piece"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-        .union(cut.filter(whole).select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("sequence_id"), F.lit(0).cast("long")))
+        .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_sequences", "part_bound")
+        .union(cut.filter(whole).select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("sequence_id"), *[F.lit(x).cast("long") for x in (0, 1, 1)]))
     )

@@ -2,8 +2,9 @@
 
 Records are laid out by SQL functions and written by Spark's text writer with the
 end-of-record mark as line separator, so archives go to any store Spark can write,
-under its commit protocol. They are read back as whole files of bounded record
-count and parsed by their declared lengths.
+under its commit protocol. Files are bounded in bytes by the sizes of their records:
+small ones stand together in files of many, large ones in files of few or of one. They
+are read back as whole files and parsed by their declared lengths.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import types as T
 from .tables import scratch_dir
 
 END_OF_RECORD = "\r\n\r\n"
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = 4096
+#: Payloads of at most so many bytes stand together in files of so many records, which makes 256 MB at most; larger ones by themselves.
+SIZES = ((1 << 16, RECORDS_PER_FILE), (1 << 20, 256), (1 << 24, 16))
+WRITERS = 16
 MIN_REVISIT_BYTES = 100
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,21 +74,35 @@ def record_text(records: DataFrame) -> Column:
         _line("WARC-Refers-To", F.col("refers_to_record")),
         _line("WARC-Refers-To-Page-ID", F.col("refers_to")),
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "),
-        F.octet_length(block).cast("string"),
+        (F.octet_length(head) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))).cast("string"),
         F.lit("\r\n\r\n"),
         block,
     )
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> str:
-    """Write ``records`` (columns of ``RECORDS``) as gzipped archives under ``path``."""
-    (
-        records.select(record_text(records).alias("value"))
-        .write.option("lineSep", END_OF_RECORD)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
-    )
+    """Write ``records`` (columns of ``RECORDS``) as gzipped archives under ``path``, in folders by the size of their records."""
+    spark = records.sparkSession
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    seen = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # records before this one in its task
+    kind, slot = F.lit(0), F.lit(0).cast("long")
+    for k, (most, _) in enumerate(SIZES):
+        each = SIZES[k + 1][1] if k + 1 < len(SIZES) else 1
+        kind = F.when(size > most, k + 1).otherwise(kind)
+        slot = F.when(size > most, F.floor(seen / each)).otherwise(slot)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", WRITERS)  # beyond these, Spark sorts a task's records by file
+    try:
+        (
+            records.select(record_text(records).alias("value"), kind.alias("size_class"), slot.alias("slot"))
+            .write.option("lineSep", END_OF_RECORD)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", records_per_file)
+            .partitionBy("size_class", "slot")
+            .text(path)
+        )
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before) if before is not None else spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
     return path
 
 

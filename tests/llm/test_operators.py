@@ -113,6 +113,21 @@ def test_warc_payload_round_trip(spark, tmp_path):
     assert back[3]["url"] == "http://x/3"
 
 
+def test_warc_files_are_bounded_by_the_bytes_of_their_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((100, 50), (1000, 4), (10_000, 2)))
+    html = [c * n for c, n in zip("abcdefgh" * 12, [10, 90, 500, 900, 5000, 9000, 20_000, 70_000] * 12)]
+    df = spark.createDataFrame([(k, "u", h, "clash") for k, h in enumerate(html)], "page_id long, url string, html string, size_class string").repartition(3)
+    path = warc.write_warc(warc.page_records(df), f"file://{tmp_path}/w", records_per_file=50)
+    by_file = Counter()
+    for (name, n) in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content").rdd.map(
+        lambda r: (r[0], sum(len(b) for _, b in warc.parse_warc(__import__("gzip").GzipFile(fileobj=__import__("io").BytesIO(r[1])))))
+    ).collect():
+        by_file[name] += n
+    assert max(by_file.values()) < 71_000 and len(by_file) > 20
+    back = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, path).collect()}
+    assert back == dict(enumerate(html))
+
+
 # near dedup
 
 def shingle_set(text, width):
@@ -257,6 +272,10 @@ def test_suffix_dedup_of_repeated_ids_keeps_rows_and_columns(spark, empty):
 def test_packing(docs, empty):
     encode = packing.token_ids(packing.TOKENIZER).whole
     rows = packing.pack_documents(docs, partition_pieces=10).collect()
+    assert all(r["part_sequences"] >= r["part_bound"] >= 1 for r in rows)
+    whole = packing.pack_documents(docs).collect()
+    least = packing.lower_bound(np.array([r["length"] for r in whole]), 1024)
+    assert least <= len({r["sequence_id"] for r in whole}) <= len({r["sequence_id"] for r in rows}) <= least + 4
     places = defaultdict(list)
     of = defaultdict(dict)
     for r in rows:
