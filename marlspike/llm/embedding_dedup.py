@@ -26,7 +26,7 @@ from .tables import written
 THRESHOLD = 0.9
 NEAREST = 12
 SHARED = 3
-BLOCK = 1024
+BLOCK = 2048
 MAX_BLOCKS = 4
 #: Pivots for n vectors: PIVOTS_PER_ROOT times the square root of n, within these bounds.
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 2.0, 64, 4096
