@@ -22,6 +22,7 @@ mostly share their least word and travel as one stretch.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -40,13 +41,15 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of text whose least words one task compares.
 WORD_SHARE = 32 << 20
 #: Bytes of stretches in a shard, and in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 ARRAY_BYTES = 1 << 20
 #: Words with more bytes of stretches than this are hot.
-HOT_BYTES = 1 << 20
+HOT_BYTES = 4 << 20
 #: Shards for each task that reads them, as long as these are no more than MAX_TASKS.
-TASK_SHARDS = 2
+TASK_SHARDS = 1
 MAX_TASKS = 50_000
+#: Up to so many regions of hot words in a chunk are looked at one by one.
+REGIONS = 300
 #: Beyond so many chunks, equal contents are merged in groups of chunks before they meet in a shard.
 MERGE_CHUNKS = 4096
 
@@ -56,16 +59,26 @@ PLACED = np.dtype([("doc", "<i8"), ("chunk", "<i8"), ("start", "<i8"), ("row", "
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("stop", "<i8")])
 
 
-def _zip(data, level: int = 3) -> bytes:
+@functools.cache
+def _packer(level: int):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level).compress(bytes(data))
+    return zstandard.ZstdCompressor(level=level)
 
 
-def _unzip(data: bytes) -> bytes:
+@functools.cache
+def _unpacker():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor()
+
+
+def _zip(data, level: int = 3) -> bytes:
+    return _packer(level).compress(bytes(data))
+
+
+def _unzip(data: bytes) -> bytes:
+    return _unpacker().decompress(data)
 
 
 def _rows(names: list[str], types: list, rows: list[tuple]):
@@ -146,10 +159,19 @@ class Chunk:
         is_hot = np.isin(stretches[3], hot)
         if not is_hot.any():
             return stretches
-        wide = self.stretches(length, WIDE)
-        by = np.argsort(wide[0], kind="stable")
-        starts, stops, _, words, twice = (x[by] for x in wide)
         s, e, r = (x[is_hot] for x in stretches[:3])
+        by = np.argsort(s, kind="stable")
+        s, e, r = s[by], e[by], r[by]
+        # neighbours are one region, whose wide words are looked for at once
+        head = np.flatnonzero(np.append(True, (s[1:] > e[:-1]) | (r[1:] != r[:-1])))
+        regions = zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist())
+        if len(head) <= REGIONS:
+            found = [_stretches(self.data[a : b + length - 1], length, a, WIDE) for a, b in regions]
+            starts, stops, words, twice = (np.concatenate(x) for x in zip(*found))
+        else:
+            wide = self.stretches(length, WIDE)
+            by = np.argsort(wide[0], kind="stable")
+            starts, stops, _, words, twice = (x[by] for x in wide)
         low, high = np.searchsorted(starts, s, side="right") - 1, np.searchsorted(starts, e, side="left")
         k, owner = ragged(low, high - low), np.repeat(np.arange(len(s)), high - low)
         cut = (np.maximum(starts[k], s[owner]), np.minimum(stops[k], e[owner]), r[owner], mix(words[k] + U64(WIDE)), twice[k])
