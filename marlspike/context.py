@@ -14,6 +14,7 @@ from .model import Entity
 from .query import Query
 from .sources.tables import Tables
 from .temporal import History
+from .udf import Translations
 
 
 class NoHistory(ValueError, LookupError):
@@ -29,7 +30,8 @@ class Context:
         self.tenant, self.tenant_column, self.strict = tenant, tenant_column, strict
         if client_evaluation not in ("throw", "warn", "allow"):
             raise ValueError("client_evaluation is throw, warn or allow")
-        self.client_evaluation = client_evaluation
+        self.client_evaluation = "throw" if strict else client_evaluation
+        self.functions = Translations(strict)
         self.entities: dict[str, Entity] = {}
         self.filters: dict[str, list[Callable[[DataFrame], Column]]] = {}
         self.histories: dict[str, History] = {}
@@ -108,6 +110,14 @@ class Context:
             raise PermissionError("raw SQL is off in strict contexts")
         return self.spark.sql(sql, args=named or None)
 
+    def execute_sql(self, sql: str, **named) -> list:
+        """A statement that changes catalogue tables or views; what was cached of them is forgotten. Gives the rows it reports, if any."""
+        out = self.sql(sql, **named).collect()
+        for _, held, _ in self._cached.values():
+            held.unpersist()
+        self._cached.clear()
+        return out
+
     def found(self, name: str, *key) -> DataFrame:
         """The row of a key, if it is there."""
         return self.query(name).where(*[F.col(k) == F.lit(v) for k, v in zip(self.entities[name].key, key, strict=True)]).first_rows()

@@ -36,6 +36,15 @@ def bool_text(b: Column) -> Column:
     return F.when(b, "True").when(~b, "False")
 
 
+def to_text(x: Column, kind: str) -> Column:
+    """A value as text by its type (as in ``dtypes``): booleans as True and False, times to the second, the rest as Spark does."""
+    if kind == "boolean":
+        return bool_text(x)
+    if kind.startswith("timestamp"):
+        return F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    return x.cast("string")
+
+
 def parse_guid(s: Column) -> Column:
     text = F.lower(F.btrim(s))
     ok = text.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")

@@ -22,8 +22,16 @@ def substring(s: Column, start, n=None) -> Column:
     return F.substring(s, start + 1, n)
 
 
-def index_of(s: Column, part) -> Column:
+def equals(a: Column, b, ignore_case: bool = False) -> Column:
+    """Null equals null alone."""
+    b = b if isinstance(b, Column) else F.lit(b)
+    return F.lower(a).eqNullSafe(F.lower(b)) if ignore_case else a.eqNullSafe(b)
+
+
+def index_of(s: Column, part, ignore_case: bool = False) -> Column:
     """The place of the first ``part``, or -1."""
+    if ignore_case:
+        return F.instr(F.lower(s), F.lower(part if isinstance(part, Column) else F.lit(part))) - 1
     return F.locate(part, s) - 1 if isinstance(part, str) else F.instr(s, part) - 1
 
 
@@ -118,15 +126,25 @@ def compare_ignore_case(a: Column, b: Column) -> Column:
 
 
 def format(template: str, *args: Column) -> Column:
-    """``{0}`` is an argument as text; ``{0,8}`` pads to the left and ``{0,-8}`` to the right; ``{0:F2}`` fixes decimals."""
+    """``{0}`` is an argument as text; ``{0,8}`` pads to the left and ``{0,-8}`` to the right; ``{0:F2}`` fixes decimals.
+
+    ``{0:yyyy-MM-dd HH:mm:ss.fff}`` tells a date or time by the tokens in it. ``{{`` and ``}}`` are braces.
+    """
     import re
 
     parts, at = [], 0
-    for m in re.finditer(r"\{(\d+)(?:,(-?\d+))?(?::F(\d+))?\}", template):
+    for m in re.finditer(r"\{\{|\}\}|\{(\d+)(?:,(-?\d+))?(?::(?:F(\d+)|([yMdHmsf][^{}]*)))?\}", template):
         if m.start() > at:
             parts.append(F.lit(template[at : m.start()]))
+        if m[1] is None:
+            parts.append(F.lit(m[0][0]))
+            at = m.end()
+            continue
         value = args[int(m[1])]
-        text = F.format_string(f"%.{m[3]}f", value.cast("double")) if m[3] else value.cast("string")
+        if m[4]:
+            text = F.date_format(value, m[4].replace("f", "S"))
+        else:
+            text = F.format_string(f"%.{m[3]}f", value.cast("double")) if m[3] else value.cast("string")
         text = F.coalesce(text, F.lit(""))
         if m[2]:
             width = int(m[2])

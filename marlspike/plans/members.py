@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import write
+from .. import udf, write
 from ..context import compile_query
 from ..expr import equal, not_equal
 from ..functions import convert, dates, numeric, strings
@@ -254,3 +254,46 @@ def default_if_some(ctx):
     q = ctx.query("customer").select("c_custkey", "c_acctbal")
     none = q.where(F.lit(False)).default_if_empty(c_custkey=-1, c_acctbal=0.5)
     return q.default_if_empty(c_custkey=-9).concat(none).df
+
+
+@query("""SELECT p_partkey, contains(lower(p_type), 'an') AS c, starts_with(lower(p_type), 'eco') AS s, lower(p_brand) = 'brand#13' AS e, instr(lower(p_type), 'o') - 1 AS at, p_brand = 'BRAND#13' AS exact,
+    CASE WHEN lower(p_name) < lower(p_type) THEN -1 WHEN lower(p_name) > lower(p_type) THEN 1 ELSE 0 END AS cmp FROM part""")
+def str_modes(ctx):
+    kind, brand = F.col("p_type"), F.col("p_brand")
+    return ctx.query("part").select(
+        "p_partkey", c=strings.contains(kind, "AN", ignore_case=True), s=strings.starts_with(kind, "eco", ignore_case=True), e=strings.equals(brand, "BRAND#13", ignore_case=True),
+        at=strings.index_of(kind, "O", ignore_case=True), exact=strings.equals(brand, "BRAND#13"), cmp=strings.compare_ignore_case(F.col("p_name"), kind),
+    ).df
+
+
+@query("""SELECT event_id, '{' || strftime(ts, '%Y-%m-%d') || '} at ' || strftime(ts, '%H:%M:%S') || ' ' || lpad(event_type, 9, ' ') AS t, CASE WHEN value > 50 THEN 'True' ELSE 'False' END AS b, strftime(ts, '%Y-%m-%d %H:%M:%S') AS plain, CAST(event_id AS VARCHAR) AS i FROM events WHERE value IS NOT NULL""")
+def text_of_values(ctx):
+    ts = F.col("ts")
+    text = strings.format("{{{0:yyyy-MM-dd}}} at {0:HH:mm:ss} {1,9}", ts, F.col("event_type"))
+    return ctx.query("events").where(F.col("value").isNotNull()).select("event_id", t=text, b=convert.to_text(F.col("value") > 50, "boolean"), plain=convert.to_text(ts, "timestamp_ntz"), i=convert.to_text(F.col("event_id"), "bigint")).df
+
+
+@query("""SELECT n_name, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey""")
+def flatten_navigation(ctx):
+    return ctx.query("nation").flatten("customers", "c_custkey", default_if_empty=True).select("n_name", "c_custkey").df
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'""")
+def cast_type(ctx):
+    return ctx.query("orders").of_type("o_orderstatus", "F").cast_type("o_orderstatus", "F").select("o_orderkey").df
+
+
+@query("""SELECT p_partkey, p_retailprice * 0.75 AS net, p_size + 1 AS more, p_brand || '!' AS loud FROM part""")
+def mapped_functions(ctx):
+    net = udf.register_sql(ctx.spark, "marlspike_net", "price double, rate double", "double", "price * (1 - rate)")
+    ctx.functions.add("Net", net)
+    ctx.functions.add("Next", lambda x: x + 1, "int")
+    ctx.functions.add("Next", lambda x: F.concat(x, F.lit("!")), "string")
+    call = ctx.functions.call
+    return ctx.query("part").select("p_partkey", net=call("Net", F.col("p_retailprice"), F.lit(0.25)), more=call("Next", F.col("p_size"), kind="int"), loud=call("Next", F.col("p_brand"), kind="string")).df
+
+
+@query("""SELECT count(*) AS n, sum(c_custkey) AS keys FROM customer""")
+def by_name(ctx):
+    del ctx.entities["customer"]
+    return ctx.query("customer").aggregate(n=g.count(), keys=F.sum("c_custkey"))

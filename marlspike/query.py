@@ -120,6 +120,11 @@ class Query:
     def of_type(self, column: str, value) -> Query:
         return self.where(F.col(column) == F.lit(value))
 
+    def cast_type(self, column: str, value) -> Query:
+        """As ``of_type``, but a row of another type raises."""
+        wrong = F.raise_error(F.concat(F.lit(f"not of type {value}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+        return self.where(F.when(F.col(column).eqNullSafe(F.lit(value)), True).otherwise(wrong.cast("boolean")))
+
     # order
 
     def order_by(self, *columns, descending: bool = False) -> Query:
@@ -282,6 +287,15 @@ class Query:
             df = include.include(self.df, children.df, list(r.parent_key), list(r.child_key), relation, fields, **more)
         return self._with(df.withColumn(relation, F.get(relation, F.lit(0))) if r.single else df, *read)
 
+    def flatten(self, relation: str, *fields: str, default_if_empty: bool = False) -> Query:
+        """A row for each row that a declared relation gives, with its ``fields`` beside the columns here; parents without any stay on demand."""
+        r = self.context.entities[self.entity].relations[relation]
+        children = self.context.query(r.child, self.ignore_filters, self.moment)
+        side = children.df.select(*[F.col(c).alias(f"__c{k}") for k, c in enumerate(r.child_key)], *fields)
+        on = [self.df[a] == side[f"__c{k}"] for k, a in enumerate(r.parent_key)]
+        joined = self.df.join(side, on, "left" if default_if_empty else "inner").drop(*[f"__c{k}" for k in range(len(on))])
+        return self._with(joined, children, key=())
+
     def with_parent(self, relation: str, *fields: str, **renamed: str) -> Query:
         """Columns of the one row that a declared relation refers to, null where there is none: to filter, order or group by."""
         r = self.context.entities[self.entity].relations[relation]

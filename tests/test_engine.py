@@ -419,3 +419,25 @@ def test_instants_with_offsets_are_one_key(spark, ctx):
     assert sorted(ids(ctx.query("z").order_by("id").distinct_by("z"))) == [1, 3]
     with pytest.raises(Exception, match="not a time of day"):
         spark.range(1).select(dates.time_from_span(F.lit(dates.MICROS_OF_DAY))).collect()
+
+
+def test_strict_contexts_keep_to_the_engine(spark, ctx):
+    strict = Context(spark, ctx.tables, strict=True, client_evaluation="allow")
+    for refused in (lambda: strict.functions.add("f", F.abs), lambda: strict.query("t").map_batches(lambda b: b, "id long"), lambda: strict.execute_sql("SELECT 1")):
+        with pytest.raises(PermissionError):
+            refused()
+    with pytest.raises(LookupError):
+        ctx.functions.call("nothing", F.lit(1))
+
+
+def test_statements_end_what_was_cached(ctx, spark):
+    a = ctx.query("t").cacheable(60)
+    ctx.execute_sql("CREATE OR REPLACE TEMPORARY VIEW three AS SELECT * FROM range(3)")
+    assert not a.df.storageLevel.useMemory
+    assert ctx.sql("SELECT count(*) AS n FROM three").first()["n"] == 3
+
+
+def test_cast_type_raises_on_others(ctx):
+    assert ctx.query("t").where(F.col("v") == 10).cast_type("v", 10).count() == 2
+    with pytest.raises(Exception, match="not of type 10"):
+        ctx.query("t").cast_type("v", 10).to_list()
