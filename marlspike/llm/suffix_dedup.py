@@ -54,8 +54,7 @@ REGIONS = 300
 MERGE_CHUNKS = 4096
 
 CHUNK = "chunk long, n_bytes long, ids binary, bounds binary, body binary, rest binary"
-REPORT = np.dtype([("word", "<u8"), ("n", "<i8")])
-PLACED = np.dtype([("doc", "<i8"), ("chunk", "<i8"), ("start", "<i8"), ("row", "<i4"), ("length", "<i4"), ("twice", "<i4"), ("word", "<u8")])
+PLACED = np.dtype([("doc", "<i8"), ("chunk", "<i8"), ("start", "<i4"), ("row", "<i4"), ("length", "<u2"), ("twice", "<u2"), ("word", "<u8")])
 SPAN = np.dtype([("row", "<i4"), ("start", "<i8"), ("stop", "<i8")])
 
 
@@ -220,22 +219,22 @@ def _stretches(data: np.ndarray, length: int, base: int, size: int):
 
 
 def _word_reports(length: int, shares: int):
-    """For each share of the words, those of a chunk with the number of their stretches."""
+    """For each share of the words, those of a chunk and, up to 65,535, the numbers of their stretches."""
 
     def run(batches):
         import pyarrow as pa
 
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for row in zip(*batch.columns):
                 chunk, ids, bounds, body = (x.as_py() for x in row)
                 words, n = np.unique(Chunk(ids, bounds, body).stretches(length)[3], return_counts=True)
-                report = np.zeros(len(words), REPORT)
-                report["word"], report["n"] = words, n
                 share = (words % U64(shares)).astype(np.int64)
                 by = np.argsort(share, kind="stable")
-                cut = np.append(np.flatnonzero(np.diff(share[by], prepend=-1)), len(by))
+                words, n, share = words[by], np.minimum(n[by], 0xFFFF).astype("<u2"), share[by]
+                cut = np.append(np.flatnonzero(np.diff(share, prepend=-1)), len(by))
                 if len(words):
-                    yield _rows(["share", "chunk", "words"], [pa.int64(), pa.int64(), pa.binary()], [(int(share[by[a]]), chunk, report[by[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
+                    yield _rows(["share", "chunk", "words", "counts"], types, [(int(share[a]), chunk, words[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])])
 
     return run
 
@@ -246,21 +245,22 @@ def _common_words(length: int):
     def run(table):
         import pyarrow as pa
 
-        reports = [np.frombuffer(x.as_py(), REPORT) for x in table.column("words")]
+        reports = [np.frombuffer(x.as_py(), U64) for x in table.column("words")]
         held = np.concatenate(reports)
+        n = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("counts")]).astype(np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in reports])
-        words, group, count = np.unique(held["word"], return_inverse=True, return_counts=True)
+        words, group, count = np.unique(held, return_inverse=True, return_counts=True)
         total = np.zeros(len(words), np.int64)
-        np.add.at(total, group, held["n"])
+        np.add.at(total, group, n)
         is_hot = (total * (length + length // 3) > HOT_BYTES)[group]
         common = (count[group] > 1) | is_hot
-        held, chunk, is_hot = held[common], chunk[common], is_hot[common]
+        held, n, chunk, is_hot = held[common], n[common], chunk[common], is_hot[common]
         by = np.argsort(chunk, kind="stable")
         cut = np.append(np.flatnonzero(np.diff(chunk[by], prepend=-1)), len(by))
         rows = []
         for a, b in zip(cut[:-1], cut[1:]):
             k = by[a:b]
-            rows.append((int(chunk[k[0]]), int(held["n"][k].sum()), held["word"][k].tobytes(), held["word"][k[is_hot[k]]].tobytes()))
+            rows.append((int(chunk[k[0]]), int(n[k].sum()), held[k].tobytes(), held[k[is_hot[k]]].tobytes()))
         schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("hot", pa.binary())])
         return pa.table({k: pa.array(list(c), schema.field(k).type) for k, c in zip(schema.names, zip(*rows))}, schema=schema) if rows else schema.empty_table()
 
@@ -292,6 +292,7 @@ def _span_rows(placed: np.ndarray, starts: np.ndarray, n_starts: np.ndarray, len
     """``(chunk, spans)`` for runs of ``n_starts`` repeating passages from ``starts`` on, in documents ``placed``."""
     chunk = placed["chunk"]
     spans = np.zeros(len(placed), SPAN)
+    starts = starts.astype(np.int64)
     spans["row"], spans["start"], spans["stop"] = placed["row"], starts, starts + n_starts + length - 1
     by = np.argsort(chunk, kind="stable")
     cut = np.append(np.flatnonzero(np.diff(chunk[by], prepend=-1)), len(by))
@@ -348,7 +349,7 @@ def _read_contents(table, length: int):
     placed, contents = [], []
     for places, body in zip(table.column("places"), table.column("body")):
         own, text, at = np.frombuffer(places.as_py(), PLACED), _unzip(body.as_py()), 0
-        for n in (own["length"] + length - 1).tolist():
+        for n in (own["length"].astype(np.int64) + length - 1).tolist():
             contents.append(text[at : at + n])
             at += n
         placed.append(own)
@@ -499,7 +500,7 @@ def _spans(held: DataFrame, length: int) -> DataFrame:
     """``chunk, spans`` of what repeats in ``held``, the chunks."""
     n_chunks, n_bytes = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     shares = max(1, -(-n_bytes // WORD_SHARE))
-    reports = held.select("chunk", "ids", "bounds", "body").mapInArrow(_word_reports(length, shares), "share long, chunk long, words binary")
+    reports = held.select("chunk", "ids", "bounds", "body").mapInArrow(_word_reports(length, shares), "share long, chunk long, words binary, counts binary")
     common = written(reports.groupBy("share").applyInArrow(_common_words(length), "chunk long, n long, words binary, hot binary"), "common", "none")
     n_common = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-n_common * (length + length // 3) // SHARD_BYTES))
@@ -523,8 +524,8 @@ def _spans(held: DataFrame, length: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, with_text: bool, carry: tuple[str, ...], schema: T.StructType) -> DataFrame:
-    if length < WIDE + 8:
-        raise ValueError(f"length must be at least {WIDE + 8}")
+    if not WIDE + 8 <= length <= 8192:
+        raise ValueError(f"length must be from {WIDE + 8} to 8192")
     held = written(chunks(docs, id_col, text_col, carry), "chunks", "none")
     told = held.join(_spans(held, length), "chunk", "left").select("ids", "bounds", "body", "rest", "spans")
     return told.mapInArrow(_cut(length, schema, with_text, carry, text_col), schema)
