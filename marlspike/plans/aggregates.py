@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grouping as g
-from .registry import dbl, money, query
+from .registry import cents, dbl, money, net_price, query
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
@@ -34,8 +34,7 @@ def aggregate_over_union(ctx):
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS sum_disc, count(*) AS n
     FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def group_by_multi(ctx):
-    disc = money("l_extendedprice") * (F.lit(1).cast("decimal(3,0)") - money("l_discount"))
-    return ctx.query("lineitem").group_by("l_returnflag", "l_linestatus", sum_qty=dbl(g.total(money("l_quantity"))), sum_disc=dbl(F.sum(disc)), n=g.count()).df
+    return ctx.query("lineitem").group_by("l_returnflag", "l_linestatus", sum_qty=dbl(g.total(cents("l_quantity")) / 100), sum_disc=dbl(F.sum(net_price()) / 10_000), n=g.count()).df
 
 
 @query("""SELECT year(o_orderdate) AS y, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2""")

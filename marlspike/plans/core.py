@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..expr import choose, contained, not_, value_or
-from .registry import dbl, money, query
+from .registry import dbl, money, net_price, query
 
 
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
@@ -149,5 +149,5 @@ def join_over_window(ctx):
 def revenue_by_nation(ctx):
     lines = ctx.query("lineitem").where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).df
     joined = lines.join(ctx.scan("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(ctx.scan("customer"), F.col("o_custkey") == F.col("c_custkey")).join(ctx.scan("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    revenue = dbl(F.sum(money("l_extendedprice") * (F.lit(1).cast("decimal(3,0)") - money("l_discount"))))
+    revenue = dbl(F.sum(net_price()) / 10_000)
     return joined.groupBy("n_name").agg(revenue.alias("revenue")).orderBy(F.desc("revenue"), "n_name").limit(10)
