@@ -163,6 +163,22 @@ def test_near_dedup(docs, width, monkeypatch):
             assert tuple(got[k])[1:] == (len(sets[k]), label[k], label[k] == k), k
 
 
+def test_near_dedup_refines_long_lists_of_unlike_documents(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    phrases = [words(700 + k, 30) for k in range(7)]
+    texts = [" ".join(phrases[k] for k in rng.choice(7, 3, replace=False)) for _ in range(70)]
+    for name, value in (("LIST_BLOCK", 6), ("REFINE", 3), ("ALL_PAIRS", 2), ("HUBS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    stats, seen = near_dedup._list_stats, []
+    monkeypatch.setattr(near_dedup, "_list_stats", lambda known: seen.append(stats(known)) or seen[-1])
+    got = by_id(near_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(70), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = least_reachable(range(70), links)
+    assert len(set(label.values())) > 10 and {k: r["component_id"] for k, r in got.items()} == label
+    assert len(seen) > 1 and seen[1].count() > 0
+
+
 def test_near_dedup_at_lower_thresholds(spark):
     assert near_dedup.bounds_of(80) == (13, 26)
     with pytest.raises(ValueError):
