@@ -174,6 +174,12 @@ def with_offset(instant: Column, minutes) -> Column:
     return F.struct(instant.alias("instant"), (minutes if isinstance(minutes, Column) else F.lit(minutes)).cast("int").alias("offset_minutes"))
 
 
+def offset_from_parts(year, month, day, hour, minute, second, minutes: Column) -> Column:
+    """The instant that a clock at an offset of ``minutes`` shows these parts at."""
+    parts = [x if isinstance(x, Column) else F.lit(x) for x in (year, month, day, hour, minute, second)]
+    return with_offset(add_minutes(F.make_timestamp(*parts), -minutes), minutes)
+
+
 def same_instant(a: Column, b: Column) -> Column:
     return a["instant"] == b["instant"]
 
@@ -246,6 +252,15 @@ def utc_now() -> Column:
     return F.current_timestamp()
 
 
+def now() -> Column:
+    """The session's local time, fixed for the whole query."""
+    return F.localtimestamp()
+
+
+def today() -> Column:
+    return F.current_date()
+
+
 def time_from_span(s: Column) -> Column:
     """A span of at least nothing and less than a day as a time of day; raises on others."""
     wrong = F.raise_error(F.concat(F.lit("not a time of day: "), s.cast("string"))).cast("long")

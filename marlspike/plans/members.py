@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from .. import udf, write
@@ -9,6 +11,7 @@ from ..context import compile_query
 from ..expr import equal, not_equal
 from ..functions import convert, dates, numeric, strings
 from ..operators import grouping as g
+from ..temporal import History
 from .registry import dbl, query
 
 
@@ -297,3 +300,51 @@ def mapped_functions(ctx):
 def by_name(ctx):
     del ctx.entities["customer"]
     return ctx.query("customer").aggregate(n=g.count(), keys=F.sum("c_custkey"))
+
+
+@query("""SELECT o_orderkey, true AS same, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS utc FROM orders""")
+def offset_from_parts(ctx):
+    t, minutes = F.col("o_orderdate"), (F.col("o_orderkey") % 5 * 60 - 120).cast("int")
+    shown = dates.local_part(_zoned())
+    made = dates.offset_from_parts(F.year(shown), F.month(shown), F.dayofmonth(shown), F.hour(shown), F.minute(shown), F.second(shown), minutes)
+    return ctx.query("orders").select("o_orderkey", same=dates.same_instant(made, dates.with_offset(t.cast("timestamp"), 0)), utc=F.date_format(dates.utc_part(made), _FORM[:16])).df
+
+
+@query("""SELECT event_id, CAST(now() AS TIMESTAMP) > ts AS past, current_date >= CAST(ts AS DATE) AS by_today, true AS same, 36 AS guid, true AS unit FROM events""")
+def clocks_and_chance(ctx):
+    ts = F.col("ts")
+    same = F.abs(F.unix_micros(dates.utc_now()) - dates.micros(dates.now())) <= 86_400_000_000
+    chance = convert.random()
+    return ctx.query("events").select("event_id", past=dates.utc_now() > ts, by_today=dates.today() >= F.to_date(ts), same=same, guid=F.length(convert.new_guid()), unit=(chance >= 0) & (chance < 1)).df
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'""")
+def modifiers(ctx):
+    q = ctx.query("orders").as_no_tracking().as_split_query().as_tracking().tag_with("open ones").where(F.col("o_orderstatus") == "P")
+    assert q.to_query_string().startswith("-- open ones")
+    return q.select("o_orderkey").df
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderkey % 10 = 0 AS conflict FROM orders""")
+def optimistic_update(ctx):
+    token = F.col("o_orderkey") % 7
+    stored = ctx.query("orders").select("o_orderkey", "o_totalprice", token=token).df
+    # one row in ten was read before its token changed
+    read = ctx.query("orders").select("o_orderkey", o_totalprice=F.lit(0.0), token=F.when(F.col("o_orderkey") % 10 == 0, -1).otherwise(token)).df
+    done, conflicts = write.checked_update(stored, read, ["o_orderkey"], "token")
+    marks = conflicts.select("o_orderkey", F.lit(True).alias("conflict"))
+    return done.join(marks, "o_orderkey", "left").select("o_orderkey", "o_totalprice", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
+@query("""SELECT 'before' AS at, 0 AS n UNION ALL SELECT 'after', count(*) FROM customer""")
+def backfilled_history(ctx):
+    since = datetime(2020, 1, 1)
+    ctx.add_history("customer", History.backfill(ctx.scan("customer"), "c_custkey", since))
+    count = lambda at, moment: ctx.query("customer", as_of=moment).aggregate(n=g.count()).select(F.lit(at).alias("at"), "n")
+    return count("before", datetime(2019, 1, 1)).union(count("after", since))
+
+
+@query("""SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT -1) WHERE c_custkey % 2 <> 0 ORDER BY c_custkey = -1, c_custkey DESC NULLS LAST LIMIT 3""")
+def operators_after_reshape(ctx):
+    q = ctx.query("customer").where(F.col("c_acctbal") > 0).select("c_custkey").order_by("c_custkey", descending=True)
+    return q.append(c_custkey=-1).where(F.col("c_custkey") % 2 != 0).take(3).select("c_custkey").df

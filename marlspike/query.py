@@ -80,6 +80,7 @@ class Query:
 
     def as_of(self, moment) -> Query:
         """The same root at another point in time; one query has one point in time."""
+        moment = self.context.tags[moment] if isinstance(moment, str) else moment
         if self.moment is not None and self.moment != moment:
             raise ValueError("a query has one point in time")
         return self.context.query(self.entity, self.ignore_filters, moment)
