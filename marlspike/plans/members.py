@@ -326,7 +326,7 @@ def modifiers(ctx):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderkey % 10 = 0 AS conflict FROM orders""")
-def optimistic_update(ctx):
+def checked_update(ctx):
     token = F.col("o_orderkey") % 7
     stored = ctx.query("orders").select("o_orderkey", "o_totalprice", token=token).df
     # one row in ten was read before its token changed
@@ -345,6 +345,6 @@ def backfilled_history(ctx):
 
 
 @query("""SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT -1) WHERE c_custkey % 2 <> 0 ORDER BY c_custkey = -1, c_custkey DESC NULLS LAST LIMIT 3""")
-def operators_after_reshape(ctx):
+def after_reshape(ctx):
     q = ctx.query("customer").where(F.col("c_acctbal") > 0).select("c_custkey").order_by("c_custkey", descending=True)
     return q.append(c_custkey=-1).where(F.col("c_custkey") % 2 != 0).take(3).select("c_custkey").df
