@@ -28,6 +28,9 @@ NEAREST = 12
 SHARED = 3
 BLOCK = 2048
 MAX_BLOCKS = 4
+#: Cosines in single precision are off by less than this; where at most this share of pairs comes near the threshold, pairs are counted one by one.
+ROUNDING, FEW = 1e-4, 0.02
+PAIR_SLICE = 1 << 15
 #: Pivots for n vectors: PIVOTS_PER_ROOT times the square root of n, within these bounds.
 PIVOTS_PER_ROOT, MIN_PIVOTS, MAX_PIVOTS = 2.0, 64, 4096
 #: Vectors that pivots are chosen from, for each pivot.
@@ -100,11 +103,23 @@ def _membership(near: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def links_of(x: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray, last: int, depth: int, shared: int, threshold: float) -> np.ndarray:
     """Which of ``left`` (rows) and ``right`` (columns) are linked through a list whose vectors all have ``depth`` pivots, ``last`` the most common."""
-    pivots = np.unique(near)
-    upto = pivots <= last
     out = np.zeros((len(left), len(right)), bool)
     if not len(left) or not len(right):
         return out
+    single = x.astype(np.float32)
+    # in single precision, few pairs of a list come near the threshold at all; only theirs need be counted
+    i, j = np.nonzero(single[left] @ single[right].T >= threshold - ROUNDING)
+    if len(i) <= FEW * out.size:
+        for at in range(0, len(i), PAIR_SLICE):
+            k, m = i[at : at + PAIR_SLICE], j[at : at + PAIR_SLICE]
+            a, b = near[left[k]], near[right[m]]
+            same = (a[:, :, None] == b[:, None, :]).any(axis=2)
+            linked = (same.sum(axis=1) >= shared) & ((same & (a <= last)).sum(axis=1) == depth)
+            k, m = k[linked], m[linked]
+            out[k, m] = (x[left[k]] * x[right[m]]).sum(axis=1) >= threshold
+        return out
+    pivots = np.unique(near)
+    upto = pivots <= last
     a, b = _membership(near[left], pivots), _membership(near[right], pivots)
     # pairs that share another pivot as rare are counted in its list
     first = a[:, upto] @ b[:, upto].T == depth

@@ -574,6 +574,20 @@ def test_near_vectors(spark, block, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_of_a_list_by_both_ways(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 16))
+    x = np.concatenate((x, x[:60] + 0.1 * rng.normal(size=(60, 16))))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.sort(np.argsort(-(x @ x[:40].T), axis=1, kind="stable")[:, :6], axis=1)
+    left, right = np.arange(150), np.arange(150, 210)
+    found = []
+    for few in (0, 1):
+        monkeypatch.setattr(embedding_dedup, "FEW", few)
+        found.append(np.stack([embedding_dedup.links_of(x, near, left, right, last, depth, 3, 0.9) for last in (5, 12, 20) for depth in (1, 2)]))
+    assert (found[0] == found[1]).all() and found[0].sum() > 20
+
+
 def test_near_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(6)
     rows, near = [], {}
