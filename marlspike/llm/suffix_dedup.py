@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .suffix_array import permuted_prefixes, suffix_array
-from .tables import batches_by_bytes, written
+from .tables import batches_by_bytes, drop_written, written
 from .textvec import U64, flat_bytes, mix, ragged, row_sizes, window_min
 
 LENGTH = 100
@@ -508,6 +508,7 @@ def _spans(held: DataFrame, length: int) -> DataFrame:
     told = held.join(asked, "chunk", "left").select("chunk", "ids", "bounds", "body", "common", "hot")
     out = "shard long, chunk long, places binary, body binary"
     sent = written(told.mapInArrow(_send(length, shards), out), "sent", "none")
+    drop_written(common)
     spans = sent.filter("shard is null").select("chunk", F.col("places").alias("spans"))
     contents = sent.filter("shard is not null")
     fan = n_chunks
