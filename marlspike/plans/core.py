@@ -104,8 +104,8 @@ def cross_join_all(ctx):
 @query("""SELECT a.c_custkey AS low, b.c_custkey AS high FROM customer a JOIN customer b
     ON a.c_nationkey = b.c_nationkey AND a.c_acctbal + 9000 < b.c_acctbal""")
 def theta_join(ctx):
-    c = ctx.query("customer")
-    pairs = c.select_many(c, (F.col("l.c_nationkey") == F.col("r.c_nationkey")) & (F.col("l.c_acctbal") + 9000 < F.col("r.c_acctbal")))
+    c = ctx.query("customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    pairs = c.join_below(c, "c_nationkey", "c_nationkey", F.col("c_acctbal") + 9000, F.col("c_acctbal"))
     return pairs.select(F.col("l.c_custkey").alias("low"), F.col("r.c_custkey").alias("high"))
 
 

@@ -259,6 +259,12 @@ class Query:
         self._same_moment(other)
         return joins.theta_join(self.df, other.df, condition, "left" if default_if_empty else "inner")
 
+    def join_below(self, other: Query, left_keys, right_keys, low: Column, high: Column) -> DataFrame:
+        """Pairs of equal keys with ``low`` (over this query's columns) less than ``high`` (over the other's). For keys of many
+        rows: ``select_many`` compares all rows of a key, in one task."""
+        self._same_moment(other)
+        return joins.below_join(self.df, other.df, _list(left_keys), _list(right_keys), low, high)
+
     def where_any(self, other: Query, left_keys, right_keys) -> Query:
         return self._with(joins.join(self.rows, other.df, _list(left_keys), _list(right_keys), "left_semi"), other)
 

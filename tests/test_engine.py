@@ -13,6 +13,7 @@ from marlspike.expr import contained, equal, not_, not_equal
 from marlspike.functions import convert, dates, numeric, strings
 from marlspike.model import Converter, create_table_sql, schema_changes
 from marlspike.operators import grouping as g
+from marlspike.operators import joins
 from marlspike.plans import core, scalars  # noqa: F401
 from marlspike.plans.registry import QUERIES
 from marlspike.query import MoreThanOne, NoElement
@@ -59,6 +60,39 @@ def test_null_keys_do_not_join_but_group(ctx):
     assert sorted(ids(ctx.query("t").where_none(ctx.query("u"), "v", "v"))) == [2, 3]
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_join_below_is_the_join_of_all_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "BLOCK", block)
+    monkeypatch.setattr(joins, "PAIRS_OF_TASK", 5)
+    values = [0.0, -0.0, 1.0, 1.0, 1.0, 5.0, None, float("nan"), float("inf"), float("-inf"), 7.5]
+    keys = [(1, "a"), (1, "b"), (2, None), (None, "a")]
+    rows = [(n, *k, v) for n, (k, v) in enumerate((k, v) for k in keys for v in values)]
+    tables = Tables(spark)
+    tables.add("t", spark.createDataFrame(rows, "id int, k int, s string, v double"))
+    tables.add("u", spark.createDataFrame([r for r in rows if r[0] % 3] * 2, "id int, k bigint, s string, v float"))
+    c = Context(spark, tables)
+    t, u = c.query("t"), c.query("u")
+    names = [F.col(f"{side}.{n}") for side in "lr" for n in ("id", "k", "s", "v")]
+    for left, right, by in ((t, t, ["k", "s"]), (t, u, ["k"]), (u, t, ["s", "k"]), (t, u.where(F.col("id") < 0), ["k"])):
+        below = left.join_below(right, by, by, F.col("v") + 1, F.col("v"))
+        plain = left.select_many(right, joins.on_keys(by, by)[0] & joins.on_keys(by, by)[-1] & (F.col("l.v") + 1 < F.col("r.v")))
+        assert below.columns == plain.columns
+        assert sorted(map(str, below.select(*names).collect())) == sorted(map(str, plain.select(*names).collect()))
+
+
+def test_theta_join_deals_one_nation_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 128, raising=False)
+    monkeypatch.setattr(joins, "PAIRS_OF_TASK", 50_000, raising=False)
+    rows = spark.range(6000).select(F.col("id").alias("c_custkey"), F.lit(7).alias("c_nationkey"), (F.col("id") * 11 % 6000 * 11.0 / 6 - 1000).alias("c_acctbal"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["theta_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    balance = [k * 11 % 6000 * 11.0 / 6 - 1000 for k in range(6000)]
+    low, high = [x + 9000 for x in balance if x < 1000], [x for x in balance if x > 8000]
+    total = sum(a < b for a in low for b in high)
+    assert sum(r["count"] for r in got) == total
+    assert max(r["count"] for r in got) < total / 2
+
+
 def test_group_join_has_empty_lists(ctx):
     rows = {r["id"]: [x["uid"] for x in r["items"]] for r in ctx.query("t").group_join(ctx.query("u"), "v", "v", ["uid"]).to_list()}
     assert rows == {1: [1], 2: [], 3: [], 4: [1]}
