@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,22 +231,28 @@ def time_ticks(t: Column) -> Column:
 SPAN = r"^(-?)(?:(\d+)\.)?(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,7}))?)?$"
 
 
+def _held(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` names it: a column named twice is evaluated twice within a condition."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def parse_span(s: Column) -> Column:
     """``[-][d.]hh:mm[:ss[.fffffff]]`` as microseconds; raises on other text. Tenths of a microsecond are cut off."""
-    part = lambda k: F.regexp_extract(s, SPAN, k)
-    number = lambda k: F.coalesce(F.nullif(part(k), F.lit("")), F.lit("0")).cast("long")
-    fraction = F.substring(F.rpad(part(6), 7, "0"), 1, 6).cast("long")
-    total_micros = ((number(2) * 24 + number(3)) * 3600 + number(4) * 60 + number(5)) * 1_000_000 + fraction
-    value = F.when(part(1) == "-", -total_micros).otherwise(total_micros)
+    def value(part: Column) -> Column:
+        number = lambda k: F.concat(F.lit("0"), part[k - 1]).cast("long")
+        fraction = F.substring(F.rpad(part[5], 7, "0"), 1, 6).cast("long")
+        total_micros = ((number(2) * 24 + number(3)) * 3600 + number(4) * 60 + number(5)) * 1_000_000 + fraction
+        return F.when(part[0] == "-", F.lit(-1).cast("long")).otherwise(F.lit(1).cast("long")) * total_micros
+
+    parts = F.split(F.regexp_replace(s, SPAN, "$1:$2:$3:$4:$5:$6:"), ":")
     wrong = F.raise_error(F.concat(F.lit("not a span of time: "), s)).cast("long")
-    return F.when(s.isNull(), F.lit(None)).when(s.rlike(SPAN), value).otherwise(wrong)
+    return F.when(s.isNull(), F.lit(None)).when(s.rlike(SPAN), _held(parts, value)).otherwise(wrong)
 
 
 def parse_time(s: Column) -> Column:
     """A time of day as microseconds; raises on text that is none."""
-    value = parse_span(s)
     wrong = F.raise_error(F.concat(F.lit("not a time of day: "), s)).cast("long")
-    return F.when(s.isNull(), F.lit(None)).when((value >= 0) & (value < MICROS_OF_DAY), value).otherwise(wrong)
+    return F.when(s.isNull(), F.lit(None)).otherwise(_held(parse_span(s), lambda v: F.when((v >= 0) & (v < MICROS_OF_DAY), v).otherwise(wrong)))
 
 
 def utc_now() -> Column:

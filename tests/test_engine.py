@@ -336,6 +336,17 @@ def test_bad_text_raises(spark):
         convert.json_value(F.col("s"), "a.b; drop")
 
 
+def test_a_time_of_day_is_matched_once(spark):
+    texts = spark.createDataFrame([(k, s) for k, s in enumerate(["02:30", None, "-0.00:00", "0.05:00", "23:59:59.9999999", "02:30:01.5\n", "00:00:00.0000019"])], "k int, s string")
+    times = texts.select("k", dates.parse_time(F.col("s")).alias("t"), dates.parse_span(F.concat(F.lit("-"), F.ltrim(F.col("s"), F.lit("-")))).alias("u")).orderBy("k")
+    expected = [9_000_000_000, None, 0, 18_000_000_000, 86_399_999_999, 9_001_500_000, 1]
+    assert [(r["t"], r["u"]) for r in times.collect()] == [(t, t and -t) for t in expected]
+    assert texts.select(dates.parse_time(F.col("s")).alias("t"))._jdf.queryExecution().analyzed().toString().count(dates.SPAN) == 2
+    for bad in ("24:00", "-02:30", "1.00:00", "02:30:", "$1:$2", "::::::", ""):
+        with pytest.raises(Exception, match="not a"):
+            one(spark, dates.parse_time(F.col("s")), s=bad)
+
+
 def test_date_diff_all_reads_every_order(spark, tmp_path):
     sold, sent = datetime(2020, 1, 1, 12), datetime(2020, 1, 3)
     spark.createDataFrame([(1, sold), (2000, sold), (9_000_000, sold)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
